@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chunkwright.llm import ngram_join
+from chunkwright.llm import decontaminate, ngram_join
 
 QUERIES = {
+    "op3_benchmark_decontamination": decontaminate.query,
     "op10_ngram_jaccard_join": ngram_join.query,
 }
 
