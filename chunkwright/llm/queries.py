@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from chunkwright.llm import decontaminate, ngram_join
+from chunkwright.llm import decontaminate, language_id, ngram_join
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.query,
+    "op8_language_id": language_id.query,
     "op10_ngram_jaccard_join": ngram_join.query,
 }
 
