@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from chunkwright.llm import decontaminate, language_id, ngram_join
+from chunkwright.llm import decontaminate, language_id, ngram_join, sharding
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.query,
+    "op4_jump_sharding": sharding.query,
     "op8_language_id": language_id.query,
     "op10_ngram_jaccard_join": ngram_join.query,
 }
 
 ORACLES = {
+    "op4_jump_sharding": sharding.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
 }
