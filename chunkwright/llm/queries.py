@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from chunkwright.llm import decontaminate, language_id, ngram_join, sharding
+from chunkwright.llm import decontaminate, language_id, mixing, ngram_join, sharding
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_jump_sharding": sharding.query,
     "op8_language_id": language_id.query,
+    "op9_source_mixing": mixing.query,
     "op10_ngram_jaccard_join": ngram_join.query,
 }
 
 ORACLES = {
     "op4_jump_sharding": sharding.SQL,
+    "op9_source_mixing": mixing.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
 }
