@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chunkwright.llm import decontaminate, language_id, mixing, ngram_join, sharding
+from chunkwright.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, sharding
 
 QUERIES = {
+    "op2_line_chunk_dedup": line_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_jump_sharding": sharding.query,
     "op8_language_id": language_id.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_line_chunk_dedup": line_dedup.SQL,
     "op4_jump_sharding": sharding.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
