@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkwright.llm import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, sharding, url_reputation
+from chunkwright.llm import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, sharding, token_coding, url_reputation
 
 QUERIES = {
     "op2_line_chunk_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_jump_sharding": sharding.query,
     "op5_host_reputation": url_reputation.query,
     "op6_html_extraction": html_extract.query,
+    "op7_token_id_coding": token_coding.query,
     "op8_language_id": language_id.query,
     "op9_source_mixing": mixing.query,
     "op10_ngram_jaccard_join": ngram_join.query,
