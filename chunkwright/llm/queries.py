@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chunkwright.llm import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, sharding, token_coding, url_reputation
+from chunkwright.llm import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, sharding, telephony, token_coding, url_reputation
 
 QUERIES = {
+    "op1_telephony_audio": telephony.query,
     "op2_line_chunk_dedup": line_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_jump_sharding": sharding.query,
