@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkwright.plans import analysis_queries, sketch_queries, storage_queries, text_queries, wholefile_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (storage_queries, wholefile_queries, sketch_queries, text_queries, analysis_queries):
+    QUERIES |= module.R.queries
+    ORACLES |= module.R.oracles
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
