@@ -95,3 +95,32 @@ def gather_slices(rows: DataFrame, length: int, dtype: str) -> np.ndarray:
     for r in rows.collect():
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(pa.decompress(bytes(r["data"]), decompressed_size=SLICE * width, codec="zstd", asbytes=True), dtype)
     return out
+
+
+BITS = 23
+
+
+def _cell(ids: np.ndarray) -> np.ndarray:
+    from chunkwright.llm.textscan import mix
+
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def bitmap(rows: DataFrame, name: str) -> np.ndarray:
+    """2**BITS bits (1 MB, whatever the rows) that mark hashes of a bigint column without nulls. Its use is to leave rows out of a
+    shuffle before an exact join: a miss is certain, a hit is decided by the join."""
+
+    def scan(batches):
+        marks = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            marks[_cell(column(batch, name).to_numpy(zero_copy_only=False))] = True
+        if marks.any():
+            yield pack_slices(np.packbits(marks))
+
+    packed = rows.select(name).mapInArrow(scan, "slice int, data binary")
+    return gather_slices(sum_slices(packed, "uint8", np.bitwise_or), (1 << BITS) // 8, "uint8")
+
+
+def in_bitmap(raw: bytes, ids: np.ndarray) -> np.ndarray:
+    at = _cell(ids)
+    return (np.frombuffer(raw, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) == 1
