@@ -44,9 +44,9 @@ def share_below(key: Column, salt: str, fraction: float) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """1536 -> '1.50 KB', by 1024, PB at most."""
+    """1536 -> '1.50 KB', by 1024, PB at most; halves are rounded to even."""
     size = size.cast("double")
-    out = F.format_string("%.2f PB", size / 1024.0**5)
+    out = F.format_string("%.2f PB", F.bround(size / 1024.0**5, 2))
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        out = F.when(F.abs(size) < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", size / 1024.0**k)).otherwise(out)
+        out = F.when(F.abs(size) < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", F.bround(size / 1024.0**k, 2))).otherwise(out)
     return out

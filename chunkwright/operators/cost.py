@@ -31,9 +31,10 @@ def choose_strategy(c_hot: float, p_hot: float, c_cold: float, p_cold: float) ->
 
 
 def moving_mean(rows: DataFrame, order: str, value: str, partition: str, last: int = 1000, least: float = 1.0) -> DataFrame:
-    """The mean of the last ``last`` values so far within each partition, each at least ``least``."""
+    """The mean of the last ``last`` values so far within each partition, each at least ``least``. Summed in millionths, so the order of
+    additions doesn't matter."""
     w = W.partitionBy(partition).orderBy(order).rowsBetween(-(last - 1), 0)
-    return rows.withColumn("moving_mean", F.avg(F.greatest(F.col(value), F.lit(least))).over(w))
+    return rows.withColumn("moving_mean", F.sum(F.round(F.greatest(F.col(value), F.lit(least)) * 1e6).cast("bigint")).over(w) / F.lit(1e6) / F.count("*").over(w))
 
 
 def rank_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...], by: list[str]) -> DataFrame:

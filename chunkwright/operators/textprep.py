@@ -57,7 +57,7 @@ def strip_markup(text: Column) -> Column:
 
 def strip_markup_sql(text: str) -> str:
     for pattern, to in MARKUP:
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')".replace("\n", "\\n")
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
     return rf"regexp_replace({text}, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')"
 
 

@@ -1,3 +1,69 @@
+"""Cleaning, filtering, placing and mutating texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from chunkwright.functions.hashing import format_bytes
+from chunkwright.operators import textprep as X
 from chunkwright.plans.register import Register
+from chunkwright.tables import table
 
 R = Register()
+CLEAN = X.strip_markup_sql("html")
+
+
+@R("strip_markup", f"select page_id, {CLEAN} as text from pages")
+def strip_markup(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_markup(F.col("html")).alias("text"))
+
+
+@R("remove_templates", r"select doc_id, regexp_replace('a {{x}} b' || text, '\{\{[^{}]*\}\}', '', 'g') as text from documents where text not like '%{{%' and text not like '%}}%'")
+def remove_templates(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").where("text not like '%{{%' and text not like '%}}%'")
+    return t.select("doc_id", X.remove_templates(F.concat(F.lit("a {{x}} b"), F.col("text"))).alias("text"))
+
+
+@R("article_filter", f"with c as (select page_id, url, page_id % 2 as ns, {CLEAN} as text from pages) select page_id, length(text) as chars from c where ns = 0 and trim(url) <> '' and text <> '' and not starts_with(upper(ltrim(text)), '#REDIRECT')")
+def article_filter(spark, sf_dir):
+    c = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 2).alias("ns"), X.strip_markup(F.col("html")).alias("text"))
+    return c.where(X.is_article(F.col("url"), F.col("ns"), F.col("text"))).select("page_id", F.length("text").cast("bigint").alias("chars"))
+
+
+@R("length_filter", "select doc_id, length(text) as chars from documents where length(text) >= 500 order by doc_id limit 300")
+def length_filter(spark, sf_dir):
+    """The first 300 documents of at least 500 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("chars")).where("chars >= 500").orderBy("doc_id").limit(300)
+
+
+@R("shard_paths", "with n as (select doc_id, row_number() over (order by doc_id) - 1 as k from documents) select doc_id, lpad((k // 100)::varchar, 2, '0') || '/' || lpad(k::varchar, 6, '0') || '.txt' as path from n")
+def shard_paths(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / F.lit(4096)).alias("range"))
+    base = docs.groupBy("range").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("range", "base")
+    k = F.col("base") + F.row_number().over(W.partitionBy("range").orderBy("doc_id")) - 1
+    return docs.join(base, "range").select("doc_id", X.shard_path(k, 100).alias("path"))
+
+
+@R("mutate_articles", f"select doc_id, {X._below('doc_id::varchar', '42', X.FRACTION)} as chosen from documents")
+def mutate_articles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.chosen(F.col("doc_id")).alias("chosen"))
+
+
+@R("mutate_lines", f"select doc_id, {X.mutate_sql()} as text from documents")
+def mutate_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.mutate_lines(F.col("text"), F.col("doc_id")).alias("text"))
+
+
+@R("second_version", X.second_version_sql())
+def second_version(spark, sf_dir):
+    return X.second_version(table(spark, sf_dir, "documents"))
+
+
+UNITS = "case " + " ".join(f"when abs(v) < {1024.0 ** (k + 1)} then printf('%.2f {u}', v / {1024.0**k}::double)" for k, u in enumerate(["B", "KB", "MB", "GB", "TB"])) + f" else printf('%.2f PB', v / {1024.0**5}::double) end"
+
+
+@R("format_bytes", f"with x as (select doc_id, (octet_length(encode(text)) * power(1024, doc_id % 6))::double as v from documents) select doc_id, {UNITS} as size from x")
+def byte_sizes(spark, sf_dir):
+    size = F.octet_length(F.encode("text", "UTF-8")) * F.pow(F.lit(1024), F.col("doc_id") % 6)
+    return table(spark, sf_dir, "documents").select("doc_id", format_bytes(size).alias("size"))
