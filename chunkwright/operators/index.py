@@ -72,14 +72,14 @@ def layers_lru(chunks: DataFrame, prior: DataFrame | None, capacity: int) -> Dat
     return rows.coalesce(1).sortWithinPartitions("doc_id", "ordinal").select("doc_id", "ordinal", "digest", F.coalesce("stored", F.lit(False)).alias("stored")).mapInPandas(scan, "doc_id bigint, ordinal bigint, digest string, layer string")
 
 
-def containers(chunks: DataFrame, capacity: int = 64 << 20, ranges: int = 64) -> DataFrame:
+def containers(chunks: DataFrame, capacity: int = 64 << 20) -> DataFrame:
     """(digest, size, container_id, container_offset) of each digest in the order of first places. A payload goes to the container its
     running offset falls in, so that each is about ``capacity`` bytes; the offset is the one within the container's payloads. The running sum
     is taken in two levels, by ranges of documents, so that no task gets all rows."""
     first = first_of(chunks).select("digest", "size", "place.doc_id", "place.ordinal")
     first = first.withColumn("range", F.floor(F.col("doc_id") / F.lit(4096)))
     before = first.groupBy("range").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("range", "base")
-    within = F.sum("size").over(W.partitionBy("range").orderBy("doc_id", "ordinal")) - F.col("size")
+    within = F.sum("size").over(W.partitionBy("range").orderBy("doc_id", "ordinal", "digest").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = first.withColumn("within", within).join(before, "range").withColumn("at", F.col("base") + F.col("within"))
     placed = placed.withColumn("container_id", F.floor(F.col("at") / F.lit(capacity)).cast("bigint") + 1)
     start = F.min("at").over(W.partitionBy("container_id"))
