@@ -73,3 +73,8 @@ def test_filters_never_drop_a_pair():
         got = J.similarity(x, y, 0.6)
         assert got == pytest.approx(j) if j >= 0.6 else got < 0.6
         assert J.suffix_bound(x, y, 10**9) <= len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+
+
+def test_blocks_of_a_hub_give_the_same(docs, corpus, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 1)
+    assert as_dict(J.ngram_join(docs)) == brute([(r[0], r[1]) for r in corpus], J.THRESHOLD)
