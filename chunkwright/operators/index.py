@@ -86,6 +86,27 @@ def containers(chunks: DataFrame, capacity: int = 64 << 20) -> DataFrame:
     return placed.select("digest", "size", "container_id", (F.col("at") - start).alias("container_offset"))
 
 
+def containers_next_fit(chunks: DataFrame, capacity: int = 64 << 20, last: int = 0) -> DataFrame:
+    """The same by next fit: a payload that doesn't fit what is left of the present container opens the next one. Each place depends on all before
+    it, so this is one ordered pass over sizes (never payloads) in one task; ``containers`` is the form for large stores."""
+    first = first_of(chunks).select("digest", "size", "place.doc_id", "place.ordinal")
+
+    def scan(batches):
+        container, used = last + 1, 0
+        for pdf in batches:
+            at, offset = [], []
+            for size in pdf["size"]:
+                if used > 0 and used + size > capacity:
+                    container, used = container + 1, 0
+                at.append(container)
+                offset.append(used)
+                used += size
+            yield pdf[["digest", "size"]].assign(container_id=at, container_offset=offset)
+
+    ordered = first.coalesce(1).sortWithinPartitions("doc_id", "ordinal").select("digest", "size")
+    return ordered.mapInPandas(scan, "digest string, size bigint, container_id bigint, container_offset bigint")
+
+
 def recipes(chunks: DataFrame) -> DataFrame:
     return occurrences(chunks).select("doc_id", "ordinal", F.col("digest").alias("chunk_hash"), "file_offset", "size", "duplicate")
 

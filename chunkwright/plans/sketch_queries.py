@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chunkwright.operators import cost, sketch as X
+from chunkwright.functions.hashing import full_md5_mod
+from chunkwright.operators import cost
+from chunkwright.operators import sketch as X
 from chunkwright.plans.register import Register
 from chunkwright.tables import table
 
@@ -77,6 +79,13 @@ def tiered_bloom(spark, sf_dir):
     return X.tiered(counts, "o_custkey", "n")
 
 
+@R("legacy_positions", "with p as (select o_custkey, unnest([0, 1, 2]) as i from (select distinct o_custkey from orders)), h as (select o_custkey, i, md5(i::varchar || o_custkey::varchar || 'low') as d from p) select o_custkey, i, (('0x' || d)::uhugeint % 100003)::bigint as position from h")
+def legacy_positions(spark, sf_dir):
+    """Positions by all 128 bits of md5, the form of the whole-file engine's filters."""
+    keys = table(spark, sf_dir, "orders").select("o_custkey").distinct().withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
+    return keys.withColumn("position", full_md5_mod(F.concat(F.col("i").cast("string"), F.col("o_custkey").cast("string"), F.lit("low")), 100_003))
+
+
 TYPES = "with t as (select event_type, count(*) as queries, count(*) filter (value > 50) as hits, round(avg(value), 6) as cost from events group by 1)"
 
 

@@ -168,6 +168,23 @@ def container_offsets(spark, sf_dir):
     return X.containers(chunks(spark, sf_dir), CAP)
 
 
+@R("container_next_fit", CDC + f""", f as (select digest, any_value(size) as size, min((doc_id, ordinal)) as p from cdc group by digest), r as (select digest, size, row_number() over (order by p) as k from f),
+n as (select digest, size, k, 1::bigint as container_id, 0::bigint as container_offset from r where k = 1
+  union all select r.digest, r.size, r.k, case when n.container_offset + n.size + r.size > {1 << 16} then n.container_id + 1 else n.container_id end, case when n.container_offset + n.size + r.size > {1 << 16} then 0 else n.container_offset + n.size end from n join r on r.k = n.k + 1)
+select digest, size, container_id, container_offset from n""")
+def container_next_fit(spark, sf_dir):
+    return X.containers_next_fit(chunks(spark, sf_dir), 1 << 16)
+
+
+@R("layer_lru", TWO + """, o as (select doc_id, ordinal, digest, row_number() over (order by doc_id, ordinal) as k from cdc2),
+l as (select *, lag(k) over (partition by digest order by k) as was from o),
+d as (select l.*, (select count(distinct x.digest) from o x where x.k > l.was and x.k < l.k) as between_ from l)
+select doc_id, ordinal, digest, case when was is not null and between_ < 64 then 'hot' when was is not null or digest in (select digest from cdc) then 'cold' else 'miss' end as layer from d""")
+def layer_lru(spark, sf_dir):
+    """A hot layer of the 64 digests used last."""
+    return X.layers_lru(chunks_v2(spark, sf_dir), X.first_of(chunks(spark, sf_dir)), 64)
+
+
 GONE = ", gone as (select doc_id from documents where doc_id % 5 = 0), k as (select i.digest, i.size, i.refcount as frequency, i.refcount - coalesce(x.n, 0) as refcount from i left join (select digest, count(*) as n from cdc where doc_id in (select doc_id from gone) group by 1) x on i.digest = x.digest)"
 
 

@@ -131,3 +131,13 @@ def test_sightings(spark):
 
 def test_histogram_of_one_value(spark):
     assert analysis.histogram(spark.createDataFrame([(3,), (3,)], "v int"), "v", 10).collect() == [(0, 2)]
+
+
+def test_stable_hash(spark):
+    import hashlib
+
+    from chunkwright.functions.hashing import stable_hash
+
+    df = spark.createDataFrame([("abc",), ("",), (None,)], "v string")
+    want = [int.from_bytes(hashlib.blake2b(f"7:{v}".encode(), digest_size=8).digest(), "big") % 1009 for v in ("abc", "")]
+    assert [r[0] for r in df.select(stable_hash(7, F.col("v"), 1009)).collect()] == [*want, None]
