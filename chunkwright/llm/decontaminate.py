@@ -16,7 +16,7 @@ second and its first half). Both must overlap: at least VERIFY of their word tri
 fewer words) occur in the passage with half a passage on each side.
 
 Result of ``leaks``: (doc_id, item_id, score, question_overlap, answer_overlap), the best score of each item in each row
-of documents, no shuffle. Null and empty texts, and items without words, give nothing; repeated rows give repeated
+of documents (rounded to 9 digits), no shuffle. Null and empty texts, and items without words, give nothing; repeated rows give repeated
 results; a null id is carried. The index is sent to the executors in shards of at most SHARD items, whatever their number;
 document frequencies are those of all items.
 """
@@ -243,7 +243,7 @@ def matches(index: Index, texts: pa.Array, threshold: float, verify: float):
             if min(shares) >= verify and (score, *shares) > best.get((row, item), (0.0,)):
                 best[row, item] = (score, *shares)
     for (row, item), x in sorted(best.items()):
-        yield row, index.ids[item], *x
+        yield row, index.ids[item], *(round(v, 9) for v in x)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, verify: float = VERIFY) -> DataFrame:
@@ -285,3 +285,35 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_WORDS = r"list_filter(regexp_extract_all(lower({0}), '[0-9a-z\x{{c0}}-\x{{1fff}}\x{{2080}}-\x{{2fff}}\x{{3040}}-\x{{10ffff}}]+'), lambda x: x <> '')"
+_HALF = PASSAGE // 2
+_GRAMS = "list_distinct(case when len({0}) = 0 then [] else list_transform(range(1, len({0}) - least(len({0}), 3) + 2), lambda i: array_to_string({0}[i:i + least(len({0}), 3) - 1], ' ')) end)"
+_QUESTION = _WORDS.format(r"regexp_extract(text, '^(.*[.!?][ \t\r\n\f\v]+)[^ \t\r\n\f\v]', 1, 's')")
+
+
+def _overlap(part: str) -> str:
+    return f"case when len({part}) = 0 then 1.0::double else len(list_filter({part}, lambda x: contains(' ' || array_to_string(near, ' ') || ' ', ' ' || x || ' '))) / len({part})::double end"
+
+
+#: Scores of all passages and items, without an index, and their overlaps.
+SQL = f"""
+with t as (select item_id, {_WORDS.format("text")} as w, len({_QUESTION}) as n from benchmark where text is not null),
+i as (select item_id, w, case when n > 0 and n < len(w) then n else (len(w) + 1) // 2 end as n from t where len(w) > 0),
+p as (select item_id, w[:n] as q, w[n + 1:] as a from i),
+g as (select item_id, {_GRAMS.format("q")} as q, {_GRAMS.format("a")} as a from p),
+f as (select item_id, x, count(*) as f, any_value(size) as size from (select item_id, unnest(w) as x, len(w) as size from i) group by 1, 2),
+c as (select count(*) as items, avg(len(w)) as mean from i),
+d as (select x, ln(1 + (items - count(*) + 0.5::double) / (count(*) + 0.5::double)) as idf from f, c group by x, items),
+s as (select item_id, x, idf * f * {K1 + 1}::double / (f + {K1}::double * ({1 - B}::double + {B}::double * size / mean)) as s from f join d using (x), c),
+m as (select item_id, x, s / sum(s) over (partition by item_id) as s from s),
+dw as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
+k as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) - 1 as pos from dw),
+b as (select distinct doc_id, x, unnest(case when pos >= {_HALF} then [pos // {_HALF}, pos // {_HALF} - 1] else [0] end) as k from k where x in (select x from d)),
+r as (select doc_id, k, item_id, sum(s) as score from b join m using (x) group by all having sum(s) >= {THRESHOLD} - 1e-9),
+n as (select r.*, dw.w[greatest(k * {_HALF} - {_HALF}, 0) + 1:k * {_HALF} + {PASSAGE + _HALF}] as near from r join dw using (doc_id)),
+o as (select doc_id, item_id, score, {_overlap("q")} as question_overlap, {_overlap("a")} as answer_overlap from n join g using (item_id)),
+z as (select doc_id, item_id, max((score, question_overlap, answer_overlap)) as v from o where least(question_overlap, answer_overlap) >= {VERIFY} group by all)
+select doc_id, item_id, round(v[1], 9) as score, round(v[2], 9) as question_overlap, round(v[3], 9) as answer_overlap from z
+"""

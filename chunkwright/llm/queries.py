@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_chunk_dedup": line_dedup.SQL,
+    "op3_benchmark_decontamination": decontaminate.SQL,
     "op4_jump_sharding": sharding.SQL,
     "op5_host_reputation": url_reputation.SQL,
     "op9_source_mixing": mixing.SQL,
