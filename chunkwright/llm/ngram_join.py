@@ -11,10 +11,14 @@ How it runs, all of it over every document:
    rare first. Any order is exact; this one keeps frequent n-grams out of prefixes.
 2. ``candidates``: only each set's probing prefix leaves the scan, packed in one binary row per bucket of tokens and
    batch. Within a token, sets are met by size, so the length filter ends a scan early; the shorter set counts only by its
-   (shorter) indexing prefix; then comes the positional filter. A pair whose tokens just before are the same as well is left to that
-   token, so a long common run yields a pair once (a 32-bit tag stands for the token before; ``distinct`` drops what is left).
-3. ``verify``: the sets of documents that occur in a candidate are made again and met once per pair: suffix filter, then
-   the exact intersection.
+   (shorter) indexing prefix; then comes the positional filter. Prefixes are longer
+   than needed for one common token, by ``asked_for(size)`` - 1, so that a pair must have as many common tokens there, which chance pairs don't.
+   A pair whose tokens just before are the same as well is left to that token; so a run of common tokens is told once: with the run's
+   length, or as enough from 3 on (a 32-bit tag stands for the token before, 8-bit tags for the two after). What is told is summed by pair.
+3. ``verify``: the sets of documents in a pair that is left are made again and sent to where the pairs of their group of copies
+   meet: the hub is the least id two steps away, the same one for nearly all of a group, so nearly every set is sent once. A hub of many
+   pairs is cut in a grid of blocks of about BLOCK pairs. Each pair is verified once, by the suffix filter with
+   halving and then the exact intersection.
 
 Documents of equal sets are one node: the smallest doc_id stands for it and is paired with each of the others (Jaccard 1),
 so a group of k copies costs k - 1 pairs and no set is joined twice. All pairs follow from these.
@@ -36,6 +40,10 @@ from chunkwright.llm import common as C
 from chunkwright.llm.textscan import mix, ngrams, scan_words
 
 N, THRESHOLD, SKETCH_BITS = 2, 0.6, 22
+#: Common tokens asked for in prefixes: this number, or this share of the set.
+COMMON, COMMON_SHARE = 4, 1 / 32
+ENOUGH = 1 << 20
+BLOCK = 50_000
 LOW = np.uint64((1 << 56) - 1)
 EPS = 1e-9
 
@@ -45,12 +53,16 @@ def need(size, t: float):
     return np.ceil(t * size - EPS)
 
 
+def asked_for(size):
+    return np.maximum(COMMON, np.ceil(size * COMMON_SHARE))
+
+
 def probe_prefix(size, t: float):
-    return size - np.ceil(t * size - EPS) + 1
+    return size - np.ceil(t * size - EPS) + asked_for(size)
 
 
 def index_prefix(size, t: float):
-    return size - np.ceil(2 * t / (1 + t) * size - EPS) + 1
+    return size - np.ceil(2 * t / (1 + t) * size - EPS) + asked_for(size)
 
 
 def gram_sets(batch: pa.RecordBatch, n: int):
@@ -118,53 +130,59 @@ def sketch(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, np.ndarray]:
                 if b.num_rows:
                     none = pa.nulls(b.num_rows)
                     at = pa.array(b.column(0).to_numpy() + k // C.SLICE, pa.int32())
-                    yield pa.RecordBatch.from_arrays([at, b.column(1), *[none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]], schema=INFO)
+                    yield pa.RecordBatch.from_arrays([at, b.column(1), *[none.cast(t) for t in INFO.types[2:]]], schema=INFO)
 
     seen = C.cut(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(scan, "slice int, data binary, doc_id bigint, sig bigint, sig2 bigint, size int"))
     blobs = seen.where("slice is not null").select("slice", "data")
-    total = C.gather_slices(C.sum_slices(blobs.withColumn("data", F.col("data")), "uint32", lambda a, b: a + b), 1 << bits, "uint32")
+    total = C.gather_slices(C.sum_slices(blobs, "uint32", lambda a, b: a + b), 1 << bits, "uint32")
     rank = np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
     return seen.where("slice is null").select("doc_id", "sig", "sig2", "size"), rank
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
 
-ROW = np.dtype([("token", "<u8"), ("sig", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("prev", "<u4")])
+ROW = np.dtype([("token", "<u4"), ("sig", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("prev", "<u4"), ("next", "<u2")])
 
 
 def pack_rows(r: dict[str, np.ndarray]) -> bytes:
-    """Column after column, so that what repeats lies together."""
-    return b"".join(r[f].tobytes() for f in ROW.names)
+    """Column after column, compressed: rows of one set lie together and repeat its signature and size."""
+    n = len(r["token"])
+    return n.to_bytes(4, "little") + pa.compress(b"".join(r[f].tobytes() for f in ROW.names), codec="zstd", asbytes=True)
 
 
 def unpack_rows(blob: bytes) -> dict[str, np.ndarray]:
-    n, at, out = len(blob) // ROW.itemsize, 0, {}
+    n, at, out = int.from_bytes(blob[:4], "little"), 0, {}
+    raw = pa.decompress(blob[4:], decompressed_size=n * ROW.itemsize, codec="zstd", asbytes=True)
     for f in ROW.names:
         kind = ROW.fields[f][0]
-        out[f] = np.frombuffer(blob, kind, n, at)
+        out[f] = np.frombuffer(raw, kind, n, at)
         at += n * kind.itemsize
     return out
 
 
 def prefix_rows(grams: np.ndarray, rank: np.ndarray, shift: np.uint64, t: float):
-    """Of one set: tokens of the probing prefix, signature, size, tags of the tokens before."""
+    """Of one set: mixed tokens of the probing prefix, signature, size, tags of the tokens before and after each."""
     tokens = ordered(grams, rank, shift)
-    p = int(probe_prefix(len(tokens), t))
-    head = tokens[:p]
-    tag = np.zeros(p, np.uint32)
-    tag[1:] = (mix(head[:-1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    return head, signature(tokens)[0], len(tokens), tag
-
-
-def pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, pos: np.ndarray, prev: np.ndarray, t: float):
-    """Candidate pairs among the rows of some tokens (all rows of each): arrays of sig_a, sig_b, block by block. The smaller set comes first."""
-    order = np.lexsort((sig, size, token))
-    token, sig, size, pos, prev = (x[order] for x in (token, sig, size.astype(np.int64), pos.astype(np.int64), prev))
+    p = min(int(probe_prefix(len(tokens), t)), len(tokens))
+    mixed = mix(tokens[: p + 2])
+    before, after = np.zeros(p, np.uint32), np.zeros(p + 2, np.uint16)
+    before[1:] = (mixed[: p - 1] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    tags = (mixed >> np.uint64(24)).astype(np.uint8).astype(np.uint16) | np.uint16(1)
+    after[: len(tags) - 1] = tags[1:]
+    after[: max(0, len(tags) - 2)] |= tags[2:] << np.uint16(8)
+    after = after[:p]
+    return mixed[:p], signature(tokens)[0], len(tokens), before, after
+
+
+def pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, pos: np.ndarray, prev: np.ndarray, after: np.ndarray, t: float):
+    """Candidate pairs among the rows of some tokens (all rows of each): arrays of sig_a, sig_b, weight, block by block. The smaller set comes first."""
+    order = np.lexsort((pos, sig, size, token))
+    token, sig, size, pos, prev, after = (x[order] for x in (token, sig, size.astype(np.int64), pos.astype(np.int64), prev, after))
     if not len(token):
         return
     same = np.zeros(len(token), bool)
     same[1:] = (token[1:] == token[:-1]) & (sig[1:] == sig[:-1]) & (size[1:] == size[:-1])
-    token, sig, size, pos, prev = (x[~same] for x in (token, sig, size, pos, prev))
+    token, sig, size, pos, prev, after = (x[~same] for x in (token, sig, size, pos, prev, after))
     edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
     end = np.repeat(edges[1:], np.diff(edges))
     at = np.flatnonzero(pos < index_prefix(size, t))
@@ -179,27 +197,33 @@ def pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, pos: np.ndarr
         good = np.minimum(pos[at], pos[other]) + 1 + np.minimum(a - pos[at] - 1, b - pos[other] - 1) >= overlap
         good &= (prev[at] == 0) | (prev[at] != prev[other])
         if good.any():
-            yield sig[at[good]], sig[other[good]]
+            need = np.minimum(asked_for(a), overlap)[good]
+            at_, other_ = at[good], other[good]
+            p, q = after[at_], after[other_]
+            second = ((p & 0xFF) == (q & 0xFF)) & ((p & 0xFF) > 0)
+            third = second & (p == q) & (p > 0xFF)
+            weight = np.ceil(ENOUGH / need).astype(np.int64)
+            yield sig[at_], sig[other_], np.where(third, ENOUGH, weight * (1 + second))
         d += 1
 
 
 def candidates(docs: DataFrame, rank: np.ndarray, n: int, t: float, bits: int) -> DataFrame:
-    """(sig_a, sig_b), once a pair. The number of token buckets follows spark.sql.shuffle.partitions, which follows the input."""
+    """(sig_a, sig_b), once a pair. The number of buckets of tokens follows spark.sql.shuffle.partitions, which follows the input."""
     spark = docs.sparkSession
-    buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(rank.tobytes())
     shift = np.uint64(64 - bits)
 
     def scan(batches):
         order = np.frombuffer(shared.value, np.uint8)
-        heads, sigs, sizes, tags, held = [], [], [], [], 0
+        heads, sigs, sizes, tags, nexts, held = [], [], [], [], [], 0
 
         def flush():
             count = np.array([len(h) for h in heads])
             token = np.concatenate(heads)
             first = np.cumsum(count) - count
-            col = {"token": token, "sig": np.repeat(np.array(sigs, np.int64), count), "size": np.repeat(np.array(sizes, np.uint32), count), "pos": (np.arange(len(token)) - np.repeat(first, count)).astype(np.uint32), "prev": np.concatenate(tags)}
-            bucket = (mix(token) % np.uint64(buckets)).astype(np.int32)
+            col = {"token": (token >> np.uint64(32)).astype(np.uint32), "sig": np.repeat(np.array(sigs, np.int64), count), "size": np.repeat(np.array(sizes, np.uint32), count), "pos": (np.arange(len(token)) - np.repeat(first, count)).astype(np.uint32), "prev": np.concatenate(tags), "next": np.concatenate(nexts)}
+            bucket = ((token & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             col = {k: v[by] for k, v in col.items()}
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -210,12 +234,12 @@ def candidates(docs: DataFrame, rank: np.ndarray, n: int, t: float, bits: int) -
         for batch in batches:
             for part in C.slices(batch, "text"):
                 for _, g in gram_sets(part, n):
-                    h, s, k, tag = prefix_rows(g, order, shift, t)
-                    heads.append(h), sigs.append(s), sizes.append(k), tags.append(tag)
+                    h, s, k, tag, after = prefix_rows(g, order, shift, t)
+                    heads.append(h), sigs.append(s), sizes.append(k), tags.append(tag), nexts.append(after)
                     held += len(h)
-                if held > 2_000_000:
+                if held > 700_000:
                     yield flush()
-                    heads, sigs, sizes, tags, held = [], [], [], [], 0
+                    heads, sigs, sizes, tags, nexts, held = [], [], [], [], [], 0
         if heads:
             yield flush()
 
@@ -223,17 +247,29 @@ def candidates(docs: DataFrame, rank: np.ndarray, n: int, t: float, bits: int) -
         got = [unpack_rows(b.as_py()) for b in table.column("rows")]
         col = {f: np.concatenate([g[f] for g in got]) for f in ROW.names}
         del got
-        out, held = [], 0
-        for a, b in pairs_of(*(col[f] for f in ROW.names), t):
-            out.append(np.stack([a, b], 1))
+        pairs, weight, out, held = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), [], 0
+
+        def add():
+            every = np.concatenate([pairs, *(x for x, _ in out)])
+            weights = np.concatenate([weight, *(w for _, w in out)])
+            order = np.lexsort((every[:, 1], every[:, 0]))
+            every = every[order]
+            start = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]).any(axis=1)])
+            return every[start], np.minimum(np.add.reduceat(weights[order], start), ENOUGH)
+
+        for a, b, w in pairs_of(*(col[f] for f in ROW.names), t):
+            out.append((np.stack([a, b], 1), w))
             held += len(a)
-            if held > 4_000_000:
-                out, held = [np.unique(np.concatenate(out), axis=0)], 0
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"sig_a": pairs[:, 0], "sig_b": pairs[:, 1]})
+            if held > 2_000_000:
+                pairs, weight = add()
+                out, held = [], 0
+        if out:
+            pairs, weight = add()
+        return pa.table({"sig_a": pairs[:, 0], "sig_b": pairs[:, 1], "weight": weight})
 
     rows = docs.select("doc_id", "text").where("doc_id is not null").select("text").mapInArrow(scan, "bucket int, rows binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "sig_a bigint, sig_b bigint").distinct()
+    met = rows.groupBy("bucket").applyInArrow(meet, "sig_a bigint, sig_b bigint, weight bigint")
+    return met.groupBy("sig_a", "sig_b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= ENOUGH).select("sig_a", "sig_b")
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
@@ -271,38 +307,35 @@ def similarity(x: np.ndarray, y: np.ndarray, t: float) -> float:
     return common / (total - common)
 
 
-def id_bitmap(ids: DataFrame, bits: int = 23) -> np.ndarray:
-    """A bitmap of hashed ids (of a fixed size): a miss is certain."""
-
-    def scan(batches):
-        marks = np.zeros(1 << bits, bool)
-        for batch in batches:
-            marks[(mix(C.column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        if marks.any():
-            yield C.pack_slices(np.packbits(marks))
-
-    packed = ids.select("doc_id").mapInArrow(scan, "slice int, data binary")
-    return C.gather_slices(C.sum_slices(packed, "uint8", np.bitwise_or), (1 << bits) // 8, "uint8")
+def named(info: DataFrame, cand: DataFrame) -> DataFrame:
+    """(doc_a, sig_a, doc_b, sig_b): candidates as documents, the smallest id of each set."""
+    sigs = cand.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
+    reps = info.join(sigs, "sig", "left_semi").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"))
+    side = lambda x: reps.select(F.col("sig").alias(f"sig_{x}"), F.col("doc_id").alias(f"doc_{x}"))
+    return cand.join(side("a"), "sig_a").join(side("b"), "sig_b").where("doc_a <> doc_b").select("doc_a", "sig_a", "doc_b", "sig_b")
 
 
-def verify(docs: DataFrame, info: DataFrame, cand: DataFrame, rank: np.ndarray, n: int, t: float, bits: int) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the candidates at or above t, by the sets' representatives."""
+def verify(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, n: int, t: float, bits: int) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of the pairs at or above t."""
     spark = docs.sparkSession
-    reps = info.groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"))
-    sigs = cand.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    wanted = C.cut(reps.join(sigs, "sig", "left_semi").select("doc_id", "sig"))
-    marks = spark.sparkContext.broadcast(id_bitmap(wanted).tobytes())
+    buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = pairs.select("doc_a", "doc_b").union(pairs.select("doc_b", "doc_a"))
+    one = edges.groupBy("doc_a").agg(F.min("doc_b").alias("m")).select(F.col("doc_a").alias("doc_b"), F.least("doc_a", "m").alias("hub"))
+    two = edges.join(one, "doc_b").groupBy("doc_a").agg(F.min("hub").alias("hub"))
+    at_hub = pairs.join(two, "doc_a")
+    grid = at_hub.groupBy("hub").agg(F.ceil(F.sqrt(F.count("*") / BLOCK)).alias("side"))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
+    placed = C.cut(at_hub.join(grid, "hub").withColumn("bucket", F.pmod(F.xxhash64("hub", cell("doc_a"), cell("doc_b")), F.lit(buckets)).cast("int")).select("bucket", "doc_a", "sig_a", "doc_b", "sig_b"))
+    asked = placed.select(F.col("bucket").alias("place"), F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("sig_a").alias("sig")), F.struct(F.col("doc_b").alias("doc_id"), F.col("sig_b").alias("sig")))).alias("x")).select("place", "x.*").distinct()
+    marks = spark.sparkContext.broadcast(C.bitmap(asked, "doc_id").tobytes())
     order = spark.sparkContext.broadcast(rank.tobytes())
     shift = np.uint64(64 - bits)
 
     def sets(batches):
-        mark = np.unpackbits(np.frombuffer(marks.value, np.uint8)).view(bool)
         ranks = np.frombuffer(order.value, np.uint8)
-        width = np.uint64(64 - int(math.log2(len(mark))))
         for batch in batches:
-            ids = C.column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = pa.array(mark[(mix(ids.view(np.uint64)) >> width).astype(np.int64)])
-            for part in C.slices(batch.filter(hit), "text"):
+            hit = C.in_bitmap(marks.value, C.column(batch, "doc_id").to_numpy(zero_copy_only=False))
+            for part in C.slices(batch.filter(pa.array(hit)), "text"):
                 own, at, sig, blob = C.column(part, "doc_id").to_numpy(zero_copy_only=False), [], [], []
                 for k, g in gram_sets(part, n):
                     tokens = ordered(g, ranks, shift)
@@ -310,20 +343,16 @@ def verify(docs: DataFrame, info: DataFrame, cand: DataFrame, rank: np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sig, pa.int64()), pa.array(blob, pa.binary())], ["doc_id", "sig", "tokens"])
 
     made = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "doc_id bigint, sig bigint, tokens binary")
-    own = made.join(wanted, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
-    own = C.cut(own)
+    sent = made.join(asked, ["doc_id", "sig"]).select("place", "doc_id", "sig", "tokens")
 
-    def check(batches):
-        for batch in batches:
-            xs, ys = C.column(batch, "x"), C.column(batch, "y")
-            j = np.array([similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), t) for x, y in zip(xs, ys)], float)
-            good = j >= t - EPS
-            a, b = (C.column(batch, c).to_numpy()[good] for c in ("id_a", "id_b"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(j[good])], ["doc_a", "doc_b", "jaccard"])
+    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {k: np.frombuffer(x.as_buffer(), np.uint64) for k, x in zip(zip(sets.column("doc_id").to_pylist(), sets.column("sig").to_pylist()), sets.column("tokens"))}
+        rows = zip(*(pairs.column(c).to_pylist() for c in ("doc_a", "sig_a", "doc_b", "sig_b")))
+        out = [(min(a, b), max(a, b), j) for a, s, b, r in rows if (j := similarity(held[a, s], held[b, r], t)) >= t - EPS]
+        a, b, j = zip(*out) if out else ((), (), ())
+        return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
-    x = own.select(F.col("sig").alias("sig_a"), F.col("doc_id").alias("id_a"), F.col("tokens").alias("x"))
-    y = own.select(F.col("sig").alias("sig_b"), F.col("doc_id").alias("id_b"), F.col("tokens").alias("y"))
-    return cand.join(x, "sig_a").join(y, "sig_b").where("id_a <> id_b").select("id_a", "id_b", "x", "y").mapInArrow(check, "doc_a bigint, doc_b bigint, jaccard double").dropDuplicates(["doc_a", "doc_b"])
+    return placed.groupBy("bucket").cogroup(sent.groupBy("place")).applyInArrow(check, "doc_a bigint, doc_b bigint, jaccard double")
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -331,7 +360,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sketch
     info, rank = sketch(docs, n, sketch_bits)
     cand = C.cut(candidates(docs, rank, n, threshold, sketch_bits))
     C.release(docs.sparkSession)
-    near = verify(docs, info, cand, rank, n, threshold, sketch_bits)
+    near = verify(docs, C.cut(named(info, cand)), rank, n, threshold, sketch_bits)
     reps = info.groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_a"))
     copies = info.join(reps, ["sig", "sig2"]).where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     return near.unionByName(copies).dropDuplicates(["doc_a", "doc_b"])
