@@ -124,3 +124,20 @@ def bitmap(rows: DataFrame, name: str) -> np.ndarray:
 def in_bitmap(raw: bytes, ids: np.ndarray) -> np.ndarray:
     at = _cell(ids)
     return (np.frombuffer(raw, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is in gone (one bigint column of that name, no nulls). Rows that a bitmap shows not to be among them pass where
+    they are read; only the few others go through the anti-join."""
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(gone, key).tobytes())
+
+    def side(hit: bool) -> DataFrame:
+        def keep(batches):
+            for batch in batches:
+                ids = column(batch, key)
+                marked = in_bitmap(marks.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(marked == hit))
+
+        return docs.mapInArrow(keep, docs.schema)
+
+    return side(False).unionByName(side(True).join(gone, key, "left_anti").select(docs.columns))

@@ -384,8 +384,9 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one of the smallest id. Rows of no group, and rows without an id, stay."""
-    gone = components(pairs).where("doc_id <> group").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = C.cut(components(pairs).where("doc_id <> group").select("doc_id"))
+    C.release(docs.sparkSession)
+    return C.without(docs, gone, "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
