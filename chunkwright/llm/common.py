@@ -141,3 +141,10 @@ def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
         return docs.mapInArrow(keep, docs.schema)
 
     return side(False).unionByName(side(True).join(gone, key, "left_anti").select(docs.columns))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows: of texts of some kB, ten thousand at once are held several times over by the executor and its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

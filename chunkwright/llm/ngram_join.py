@@ -357,6 +357,7 @@ def verify(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, n: int, t: float
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """All pairs of documents whose n-gram sets have Jaccard >= threshold; see the module's text for the result's form."""
+    C.small_batches(docs.sparkSession)
     info, rank = sketch(docs, n, sketch_bits)
     cand = C.cut(candidates(docs, rank, n, threshold, sketch_bits))
     C.release(docs.sparkSession)
