@@ -7,7 +7,7 @@ import corpus_pipeline as P
 def folder(spark, tmp_path, docs, nasty):
     docs = docs.withColumn("doc_id", docs.doc_id + 100)
     items = [(1, "a question of the benchmark about words and things. the answer is that.")]
-    leak = [(900, docs.first().text + items[0][1] + " more words here", "en", "src3", 1)]
+    leak = [(900, "some abc dead beef head cage fade bead " * 4 + items[0][1] + " and a bag of beads", "en", "src3", 1)]
     df = docs.unionByName(nasty.select(docs.columns)).unionByName(spark.createDataFrame(leak, docs.schema))
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
