@@ -1,6 +1,11 @@
-"""Line dedup by content-defined chunks of lines, removed where they repeat anywhere in the corpus.
+"""Line dedup by passages of lines, removed where they repeat anywhere in the corpus.
 
-A text's lines are split at LF. A line's hash is the first 32 bits of its md5; a rolling hash over the last ROLL line hashes
+The query finds passages by ``shared``: every LEAST lines in a row, at every line, so that a passage is found wherever it lies and whatever is
+around it. An occurrence other than the first (that in the document of the smallest doc_id, there the first) is removed; those that share
+lines make one run, and a run counts if it has a character other than blanks. A line thus goes if and only if it is in such a run, and
+every line that goes is still where it came first.
+
+``found`` is the coarser form by content-defined chunks, as in SQL. A text's lines are split at LF. A line's hash is the first 32 bits of its md5; a rolling hash over the last ROLL line hashes
 of the text (0 before its first line) ends a chunk after a line where it is 0 modulo EVERY, and every MOST lines without such
 an end. An end depends on ROLL lines alone, so lines put in or taken out elsewhere don't shift it.
 
@@ -10,11 +15,12 @@ first. All others are removed, each with the LF after it (at the end of a text,
 a 64-bit hash; they are grouped by their bytes, and a hash that stands for different bytes removes nothing.
 
 Result: the documents with ``text`` cut, ``removed_chunks`` and ``removed_bytes``; rows, order of lines and the other columns
-stay (columns named like the new ones are replaced). A null or empty text has no chunks. A row with a null id stays as
+stay (columns named like the new ones are replaced); ``removed_chunks`` counts runs or chunks. A null or empty text has no chunks. A row with a null id stays as
 it is and doesn't count. Repeated rows of one id and text count once and get the same result. An empty table gives an empty
 result.
 
-Shuffled are one short row a chunk, the bytes of chunks whose hash repeats (after a fixed-size bitmap), and documents that lose something.
+Shuffled are one hash a passage (summed before), a short row and the bytes of passages whose hash repeats (after a fixed-size bitmap), and documents
+that lose something.
 """
 
 from __future__ import annotations
@@ -66,6 +72,32 @@ def found(text: bytes, least: int = LEAST):
             yield h, begin, end, nth
 
 
+def shared(text: bytes, least: int = LEAST):
+    """As found, of every ``least`` lines in a row."""
+    seen: dict[int, int] = {}
+    ends, at = [], -1
+    for line in text.split(b"\n"):
+        at += 1 + len(line)
+        ends.append(at)
+    begin = 0
+    for k in range(least - 1, len(ends)):
+        h = long64(text[begin : ends[k]])
+        seen[h] = nth = seen.get(h, -1) + 1
+        yield h, begin, ends[k], nth
+        begin = ends[k - least + 1] + 1
+
+
+def runs(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that share lines as one; what is blank doesn't count."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return [(a, b) for a, b in out if text[a:b].strip(b" \t\r\n")]
+
+
 def remove(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for begin, end in sorted(spans):
@@ -80,29 +112,46 @@ def rows_of(batch: pa.RecordBatch):
             yield doc_id, bytes(text.as_buffer())
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, find=found) -> DataFrame:
     spark = docs.sparkSession
     where = "doc_id bigint, sig bigint, hash bigint, begin int, stop int, nth int"
 
-    def scan(batches):
+    def hashes(batches):
         for batch in batches:
-            got = [(i, long64(t), *x) for i, t in rows_of(batch) for x in found(t)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 3 else pa.int32()) for k, x in enumerate(zip(*got))], ["doc_id", "sig", "hash", "begin", "stop", "nth"])
+            for part in C.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for _, t in rows_of(part) for x in find(t)], pa.int64())], ["hash"])
 
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    occurrences = texts.mapInArrow(scan, where).distinct()
-    counts = occurrences.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    repeated = C.cut(occurrences.join(counts, "hash", "left_semi"))
-    marks = spark.sparkContext.broadcast(C.bitmap(repeated, "hash").tobytes())
+    counts = texts.mapInArrow(hashes, "hash bigint").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    marks = spark.sparkContext.broadcast(C.bitmap(counts, "hash").tobytes())
+
+    def marked(part):
+        """(doc_id, text, what find gives) of the hashes that may repeat."""
+        for i, t in rows_of(part):
+            if got := list(find(t)):
+                for k in np.flatnonzero(C.in_bitmap(marks.value, np.array([x[0] for x in got], np.int64))).tolist():
+                    yield i, t, got[k]
+
+    def scan(batches):
+        for batch in batches:
+            for part in C.slices(batch, "text"):
+                last, sig, got = None, 0, []
+                for i, t, x in marked(part):
+                    if t is not last:
+                        last, sig = t, long64(t)
+                    got.append((i, sig, *x))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 3 else pa.int32()) for k, x in enumerate(zip(*got))], ["doc_id", "sig", "hash", "begin", "stop", "nth"])
+
+    repeated = texts.mapInArrow(scan, where).distinct()
 
     def bytes_of(batches):
         for batch in batches:
-            got = [(i, h, t[a:b]) for i, t in rows_of(batch) for h, a, b, _ in found(t)]
-            if got:
-                ids, hashes, data = zip(*got)
-                keep = C.in_bitmap(marks.value, np.array(hashes, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "hash", "data"]).filter(pa.array(keep))
+            for part in C.slices(batch, "text"):
+                got = [(i, h, t[a:b]) for i, t, (h, a, b, _) in marked(part)]
+                if got:
+                    ids, hashes, data = zip(*got)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "hash", "data"])
 
     equal = texts.mapInArrow(bytes_of, "doc_id bigint, hash bigint, data binary").groupBy("hash", "data").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
     first = equal.groupBy("hash").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1 and kinds = 1").select("hash", "first_doc")
@@ -128,7 +177,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             raw = [bytes(t.as_buffer()) if t.is_valid else None for t in texts]
             new, count, size = [], [], []
             for t, s in zip(raw, spans):
-                s = [(x["begin"], x["stop"]) for x in s or ()]
+                s = runs(t, [(x["begin"], x["stop"]) for x in s]) if s else []
                 new.append(remove(t, s).decode() if s else None if t is None else t.decode())
                 count.append(len(s))
                 size.append(len(t) - len(new[-1].encode()) if s else 0)
@@ -144,10 +193,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared)
 
 
-#: In SQL a chunk is the group of lines between ends; equal chunks are grouped by their text.
+#: The form by chunks, ``dedup(docs)``; the query removes all of its chunks and more. In SQL a chunk is the group of lines between ends; equal chunks are grouped by their text.
 SQL = f"""
 with l as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as line from (select doc_id, string_split(text, chr(10)) as x from documents where text <> '')),
 h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from l),
