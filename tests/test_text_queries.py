@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from chunkwright.operators import textprep as X
 from chunkwright.plans import text_queries as Q
 
 DOCUMENTS = "doc_id bigint, text string"
@@ -38,3 +39,14 @@ def test_templates_of_all_documents(spark, written):
     rows = [(i, x) for i, x in enumerate(texts)] + [(-1, None)]
     got = dict(Q.remove_templates(spark, written("documents", rows, DOCUMENTS)).collect())
     assert got == {i: None if x is None else by_depth(x) for i, x in rows}
+
+
+def test_articles_of_all_pages(spark, written):
+    rows = [(1, "u", "<p>odd</p>"), (2, "u", "<p>even</p>"), (3, " ", "no title"), (4, "u", "<p> </p>"), (5, "u", " #redirect x"), (6, "u", "see #redirect"), (7, "u", "<b>#REDIRECT</b>"), (9, "u", "''nine''")]
+    got = Q.article_filter(spark, written("pages", rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r.page_id, r.chars) for r in got) == [(1, 3), (2, 4), (6, 13), (9, 4)]
+
+
+def test_other_namespaces_are_no_articles(spark):
+    df = spark.createDataFrame([(k, "t", ns, "text") for k, ns in enumerate([0, 1, -1, 14, None])], "k int, title string, ns int, text string")
+    assert [r.k for r in df.where(X.is_article(df.title, df.ns, df.text)).collect()] == [0]
