@@ -3,7 +3,8 @@
 Index. Items are the documents of the index; a posting holds an item's BM25 impact of the term divided by the item's
 score for itself, so that a score is the share of the item that a passage covers and one threshold serves all items.
 Items lie in an order that brings like ones together and in ranges of RANGE items; every term keeps its largest impact
-in all and in each range (the block maxima).
+in all and in each range (the block maxima). An item of more than PASSAGE words fits no passage, so it is
+indexed in equal pieces of at most half a passage, each with its own score for itself; a copied piece lies whole in some passage.
 
 Search. A text is cut into passages of PASSAGE words, each beginning half a passage after the one before, to the end of
 the text. Of every passage all items with score >= threshold are retrieved (none but those; no top k). For all passages of
@@ -13,11 +14,12 @@ left, which are few, each passage's lists are walked with WAND pivots and block-
 
 Verification. A retrieved item's last sentence is its answer and what is before it its question (of one sentence: its
 second and its first half). Both must overlap: at least VERIFY of their word trigrams (shorter n-grams where they have
-fewer words) occur in the passage with half a passage on each side.
+fewer words) occur in the passage with half a passage on each side. Of an item in pieces, the best scores of the pieces that a row retrieves are
+averaged (a piece's weight is its score for itself, one not retrieved counts 0) and must reach the threshold; its overlaps are with all of these passages.
 
 Result of ``leaks``: (doc_id, item_id, score, question_overlap, answer_overlap), the best score of each item in each row
 of documents (rounded to 9 digits), no shuffle. Null and empty texts, and items without words, give nothing; repeated rows give repeated
-results; a null id is carried. The index is sent to the executors in shards of at most SHARD items, whatever their number;
+results; a null id is carried. The index is sent to the executors in shards of at most SHARD items or pieces (one item's stay together), whatever their number;
 document frequencies are those of all items.
 """
 
@@ -61,19 +63,29 @@ def grams_of(h: np.ndarray) -> np.ndarray:
 class Index:
     """One shard: postings by term, block maxima, and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], idf: dict[int, float], mean_length: float, threshold: float):
+    def __init__(self, whole: list[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]], idf: dict[int, float], mean_length: float, threshold: float):
         common = lambda words: max(set(words.tolist()), key=lambda t: (-idf[t], t))
+        items = [(item_id, words, k) for k, (item_id, pieces, _, _) in enumerate(whole) for words in pieces]
         items = sorted(items, key=lambda x: (common(x[1]), x[0] if x[0] is not None else -1))
-        self.ids = [x[0] for x in items]
-        self.parts = [(q, a) for _, _, q, a in items]
+        #: Of each piece (an item up to PASSAGE words is one), the item; of each item, its id, its number of pieces and its parts.
+        self.owner = [x[2] for x in items]
+        self.ids = [x[0] for x in whole]
+        self.pieces = [len(x[1]) for x in whole]
+        self.parts = [(q, a) for _, _, q, a in whole]
+        self_score = []
         self.ranges = -(-len(items) // RANGE)
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for k, (_, words, _, _) in enumerate(items):
+        for k, (_, words, _) in enumerate(items):
             norm = K1 * (1 - B + B * len(words) / mean_length)
             impact = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in Counter(words.tolist()).items()}
             own = math.fsum(impact.values())
+            self_score.append(own)
             for t, w in impact.items():
                 postings[t].append((k, w / own))
+        total = [0.0] * len(whole)
+        for k, own in zip(self.owner, self_score):
+            total[k] += own
+        self.weight = [own / total[k] for k, own in zip(self.owner, self_score)]
         self.terms = np.array(sorted(postings), np.uint64)
         lists = [postings[t] for t in self.terms.tolist()]
         #: Of each term, the blocks by range: its largest impact there, and the postings.
@@ -224,28 +236,63 @@ def build(benchmark: DataFrame, threshold: float) -> list[Index]:
     df = Counter(t for _, w, _, _ in read for t in set(w.tolist()))
     idf = {t: math.log(1 + (len(read) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     mean = sum(len(w) for _, w, _, _ in read) / max(1, len(read))
-    return [Index(read[k : k + SHARD], idf, mean, threshold) for k in range(0, len(read), SHARD)]
+    shards, held = [], SHARD
+    for item_id, w, q, a in read:
+        pieces = np.array_split(w, -(-len(w) // (PASSAGE // 2))) if len(w) > PASSAGE else [w]
+        if held + len(pieces) > SHARD:  # an item's pieces stay together
+            shards.append([])
+            held = 0
+        shards[-1].append((item_id, pieces, q, a))
+        held += len(pieces)
+    return [Index(x, idf, mean, threshold) for x in shards]
 
 
 def matches(index: Index, texts: pa.Array, threshold: float, verify: float):
-    """(row, item_id, score, question overlap, answer overlap), the best passage of each item in each row."""
+    """(row, item_id, score, question overlap, answer overlap), the best passage of each item in each row, or all passages of one in pieces."""
     w = scan_words(texts)
     best: dict[tuple[int, int], tuple] = {}
+    long: dict[tuple[int, int], tuple[dict[int, float], list[tuple[int, int]]]] = {}
+
+    def shares_of(item: int, has: dict[int, np.ndarray]) -> list[float]:
+        return [float(max((np.isin(part, g).mean() for g in has.values()), default=0.0) if len(part) else 1.0) for part in index.parts[item]]
+
     for row, word, got in index.search(w.hashes, w.ptr, threshold):
         a, b = int(w.ptr[row]), int(w.ptr[row + 1])
-        near = w.hashes[max(a, a + word - PASSAGE // 2) : min(b, a + word + PASSAGE + PASSAGE // 2)]
-        has = {n: np.unique(ngrams(near, n)[: len(near) - n + 1]) for n in range(1, GRAM + 1) if len(near) >= n}
-        for item, score in got:
-            shares = []
-            for part in index.parts[item]:
-                share = max((np.isin(part, g).mean() for g in has.values()), default=0.0) if len(part) else 1.0
-                shares.append(float(share))
+        begin, end = max(a, a + word - PASSAGE // 2), min(b, a + word + PASSAGE + PASSAGE // 2)
+        has = grams_near(w.hashes, [(begin, end)])
+        for piece, score in got:
+            item = index.owner[piece]
+            if index.pieces[item] > 1:
+                scores, near = long.setdefault((row, item), ({}, []))
+                scores[piece] = max(score, scores.get(piece, 0.0))
+                near.append((begin, end))
+                continue
+            shares = shares_of(item, has)
             if min(shares) >= verify and (score, *shares) > best.get((row, item), (0.0,)):
                 best[row, item] = (score, *shares)
+    for (row, item), (scores, near) in long.items():
+        score = math.fsum(index.weight[k] * x for k, x in scores.items())
+        if score >= threshold - 1e-9 and min(shares := shares_of(item, grams_near(w.hashes, near))) >= verify:
+            best[row, item] = (score, *shares)
     for (row, item), x in sorted(best.items()):
         yield row, index.ids[item], *(round(v, 9) for v in x)
 
 
+def grams_near(h: np.ndarray, spans: list[tuple[int, int]]) -> dict[int, np.ndarray]:
+    """Of each n up to GRAM, the distinct n-grams within the spans (begin, end), as one where they overlap."""
+    joined: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if joined and begin <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((begin, end))
+    out = {}
+    for n in range(1, GRAM + 1):
+        if some := [ngrams(h[a:b], n)[: b - a - n + 1] for a, b in joined if b - a >= n]:
+            out[n] = np.unique(np.concatenate(some))
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, verify: float = VERIFY) -> DataFrame:
     """One row per row of docs and item found in it."""
     spark = docs.sparkSession
