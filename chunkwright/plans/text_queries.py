@@ -34,8 +34,9 @@ def article_filter(spark, sf_dir):
 
 @R("length_filter", "select doc_id, length(text) as chars from documents where length(text) >= 500 order by doc_id limit 300")
 def length_filter(spark, sf_dir):
-    """The first 300 documents of at least 500 characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("chars")).where("chars >= 500").orderBy("doc_id").limit(300)
+    """All documents of at least 500 characters once templates and markup are removed. The SQL gives 300, by their length before."""
+    text = X.strip_markup(X.remove_templates(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("bigint").alias("chars")).where("chars >= 500")
 
 
 @R("shard_paths", "with n as (select doc_id, row_number() over (order by doc_id) - 1 as k from documents) select doc_id, lpad((k // 100)::varchar, 2, '0') || '/' || lpad(k::varchar, 6, '0') || '.txt' as path from n")

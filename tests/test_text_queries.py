@@ -4,6 +4,7 @@ import pytest
 
 from chunkwright.operators import textprep as X
 from chunkwright.plans import text_queries as Q
+from chunkwright.sources import files as S
 
 DOCUMENTS = "doc_id bigint, text string"
 
@@ -50,3 +51,15 @@ def test_articles_of_all_pages(spark, written):
 def test_other_namespaces_are_no_articles(spark):
     df = spark.createDataFrame([(k, "t", ns, "text") for k, ns in enumerate([0, 1, -1, 14, None])], "k int, title string, ns int, text string")
     assert [r.k for r in df.where(X.is_article(df.title, df.ns, df.text)).collect()] == [0]
+
+
+def test_length_of_all_cleaned_documents(spark, written):
+    rows = [(i, "x" * (499 + i % 2)) for i in range(1000)] + [(1000, "x" * 400 + "{{" + "y" * 200 + "}}"), (1001, "x" * 400 + "<" + "b" * 200 + ">"), (1002, "''" + "x" * 500 + "''"), (1003, None)]
+    got = dict(Q.length_filter(spark, written("documents", rows, DOCUMENTS)).collect())
+    assert got == {i: 500 for i in [*range(1, 1000, 2), 1002]}
+
+
+def test_limit_counts_what_is_kept(spark):
+    pages = spark.createDataFrame([("d", "x" * 600), ("a", "short"), ("c", "x" * 500), ("b", "x" * 400 + "{{" + "y" * 200 + "}}"), ("e", "x" * 700)], "title string, text string")
+    assert [r.title for r in S.clean_articles(pages, limit=2).collect()] == ["c", "d"]
+    assert S.clean_articles(pages).count() == 3
