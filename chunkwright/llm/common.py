@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files that no living DataFrame needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def id_column(docs: DataFrame, name: str = "doc_id") -> DataFrame:
-    return docs.where(F.col(name).isNotNull())
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about limit bytes of the column, at least one row each."""
     if batch.num_rows == 0:
@@ -97,54 +87,71 @@ def gather_slices(rows: DataFrame, length: int, dtype: str) -> np.ndarray:
     return out
 
 
-BITS = 23
+#: Bits that a key gets in ``Marks``, the least bits of all, and the most (16 MB).
+PER_KEY, LEAST_BITS, MOST_BITS = 8, 19, 27
 
 
-def _cell(ids: np.ndarray) -> np.ndarray:
+def _cell(ids: np.ndarray, bits: int) -> np.ndarray:
     from chunkwright.llm.textscan import mix
 
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bitmap(rows: DataFrame, name: str) -> np.ndarray:
-    """2**BITS bits (1 MB, whatever the rows) that mark hashes of a bigint column without nulls. Its use is to leave rows out of a
-    shuffle before an exact join: a miss is certain, a hit is decided by the join."""
+class Marks:
+    """Bits that mark the hashes of a bigint column without nulls, sent to the executors. Their use is to leave rows out of a shuffle before an exact join: a miss is
+    certain, a hit is decided by the join. The bits follow the number of rows, PER_KEY for each, up to 2**MOST_BITS, so that what is sent is at most 16 MB; with more
+    keys than that (16 million at 8 bits each), more rows go through the join, at the end all of them. rows is read twice: give a table that was cut."""
 
-    def scan(batches):
-        marks = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            marks[_cell(column(batch, name).to_numpy(zero_copy_only=False))] = True
-        if marks.any():
-            yield pack_slices(np.packbits(marks))
+    def __init__(self, rows: DataFrame, name: str):
+        self.bits = bits = min(MOST_BITS, max(LEAST_BITS, (PER_KEY * max(1, rows.count()) - 1).bit_length()))
 
-    packed = rows.select(name).mapInArrow(scan, "slice int, data binary")
-    return gather_slices(sum_slices(packed, "uint8", np.bitwise_or), (1 << BITS) // 8, "uint8")
+        def scan(batches):
+            marks = np.zeros(1 << bits >> 3, np.uint8)
+            for batch in batches:
+                at = np.unique(_cell(column(batch, name).to_numpy(zero_copy_only=False), bits))
+                np.bitwise_or.at(marks, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            if marks.any():
+                yield pack_slices(marks)
 
+        packed = rows.select(name).mapInArrow(scan, "slice int, data binary")
+        total = gather_slices(sum_slices(packed, "uint8", np.bitwise_or), 1 << bits >> 3, "uint8")
+        self.sent = rows.sparkSession.sparkContext.broadcast(total.tobytes())
 
-def in_bitmap(raw: bytes, ids: np.ndarray) -> np.ndarray:
-    at = _cell(ids)
-    return (np.frombuffer(raw, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) == 1
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = _cell(ids, self.bits)
+        return (np.frombuffer(self.sent.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) == 1
 
+    def split(self, docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """docs whose key isn't marked, or null, and those whose key is."""
 
-def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """docs without the rows whose key is in gone (one bigint column of that name, no nulls). Rows that a bitmap shows not to be among them pass where
-    they are read; only the few others go through the anti-join."""
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(gone, key).tobytes())
+        def side(hit: bool) -> DataFrame:
+            def keep(batches):
+                for batch in batches:
+                    ids = column(batch, key)
+                    marked = self.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                    yield batch.filter(pa.array(marked == hit))
 
-    def side(hit: bool) -> DataFrame:
-        def keep(batches):
-            for batch in batches:
-                ids = column(batch, key)
-                marked = in_bitmap(marks.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(marked == hit))
+            return docs.mapInArrow(keep, docs.schema)
+
+        return side(False), side(True)
 
-        return docs.mapInArrow(keep, docs.schema)
 
-    return side(False).unionByName(side(True).join(gone, key, "left_anti").select(docs.columns))
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is in gone (one bigint column of that name, no nulls, cut). Rows that aren't marked pass where
+    they are read; only the few others go through the anti-join."""
+    clear, marked = Marks(gone, key).split(docs, key)
+    return clear.unionByName(marked.join(gone, key, "left_anti").select(docs.columns))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: of texts of some kB, ten thousand at once are held several times over by the executor and its Python worker."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, Arrow batches of few rows: of texts of some kB, ten thousand at once are held several times over by the executor and its Python worker.
+    What is planned in it must run in it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    before = spark.conf.get(name)
+    try:
+        if not 0 < int(before) <= rows:
+            spark.conf.set(name, str(rows))
+        yield
+    finally:
+        spark.conf.set(name, before)

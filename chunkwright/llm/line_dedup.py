@@ -5,22 +5,22 @@ around it. An occurrence other than the first (that in the document of the small
 lines make one run, and a run counts if it has a character other than blanks. A line thus goes if and only if it is in such a run, and
 every line that goes is still where it came first.
 
-``found`` is the coarser form by content-defined chunks, as in SQL. A text's lines are split at LF. A line's hash is the first 32 bits of its md5; a rolling hash over the last ROLL line hashes
+``found`` is the coarser form by content-defined chunks. A text's lines are split at LF. A line's hash is the first 32 bits of its md5; a rolling hash over the last ROLL line hashes
 of the text (0 before its first line) ends a chunk after a line where it is 0 modulo EVERY, and every MOST lines without such
 an end. An end depends on ROLL lines alone, so lines put in or taken out elsewhere don't shift it.
 
 A chunk of at least LEAST lines that has a character other than blanks counts; its bytes are those from its first line to its last, with
 the LFs between. Of the chunks with equal bytes the first stays: the one in the document of the smallest doc_id, there the
 first. All others are removed, each with the LF after it (at the end of a text, nothing but the chunk). Candidates share
-a 64-bit hash; they are grouped by their bytes, and a hash that stands for different bytes removes nothing.
+a 64-bit hash; they are grouped by 128 bits and by their bytes, so different bytes of one 64-bit hash are told apart (of one 128-bit hash, they are left alone).
 
 Result: the documents with ``text`` cut, ``removed_chunks`` and ``removed_bytes``; rows, order of lines and the other columns
-stay (columns named like the new ones are replaced); ``removed_chunks`` counts runs or chunks. A null or empty text has no chunks. A row with a null id stays as
-it is and doesn't count. Repeated rows of one id and text count once and get the same result. An empty table gives an empty
-result.
+stay, whatever their names (columns named like the new ones are replaced); ``removed_chunks`` counts runs or chunks. A null or empty text has no chunks. A row with a null id stays as
+it is and doesn't count. Repeated rows of one id and text count once and get the same result; different texts under one id are in the order of their md5. An empty table
+gives an empty result.
 
-Shuffled are one hash a passage (summed before), a short row and the bytes of passages whose hash repeats (after a fixed-size bitmap), and documents
-that lose something.
+Shuffled are one hash a passage (summed before), a short row and the bytes of passages whose hash repeats, and documents
+that lose something; the bits that tell them (``common.Marks``) follow their number.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from chunkwright.llm import common as C
 
@@ -58,32 +59,34 @@ def chunks(text: bytes, roll: int = ROLL, every: int = EVERY, most: int = MOST)
     return out
 
 
-def long64(data: bytes) -> int:
-    return int.from_bytes(hashlib.md5(data).digest()[:8], "big", signed=True)
+def halves(data: bytes) -> tuple[int, int]:
+    """The two halves of its md5."""
+    d = hashlib.md5(data).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 def found(text: bytes, least: int = LEAST):
-    """(hash, begin, end, occurrence of this hash in the text) of the chunks that count."""
-    seen: dict[int, int] = {}
+    """(hash, second hash, begin, end, occurrence in the text) of the chunks that count."""
+    seen: dict[tuple[int, int], int] = {}
     for begin, end, lines in chunks(text) if text else ():
         if lines >= least and (data := text[begin:end]).strip(b" \t\r\n"):
-            h = long64(data)
+            h = halves(data)
             seen[h] = nth = seen.get(h, -1) + 1
-            yield h, begin, end, nth
+            yield *h, begin, end, nth
 
 
 def shared(text: bytes, least: int = LEAST):
     """As found, of every ``least`` lines in a row."""
-    seen: dict[int, int] = {}
+    seen: dict[tuple[int, int], int] = {}
     ends, at = [], -1
     for line in text.split(b"\n"):
         at += 1 + len(line)
         ends.append(at)
     begin = 0
     for k in range(least - 1, len(ends)):
-        h = long64(text[begin : ends[k]])
+        h = halves(text[begin : ends[k]])
         seen[h] = nth = seen.get(h, -1) + 1
-        yield h, begin, ends[k], nth
+        yield *h, begin, ends[k], nth
         begin = ends[k - least + 1] + 1
 
 
@@ -112,9 +115,16 @@ def rows_of(batch: pa.RecordBatch):
             yield doc_id, bytes(text.as_buffer())
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until docs has no column of it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def dedup(docs: DataFrame, find=found) -> DataFrame:
-    spark = docs.sparkSession
-    where = "doc_id bigint, sig bigint, hash bigint, begin int, stop int, nth int"
+    columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_bytes")]
+    docs = docs.select(columns)
 
     def hashes(batches):
         for batch in batches:
@@ -122,14 +132,13 @@ def dedup(docs: DataFrame, find=found) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for _, t in rows_of(part) for x in find(t)], pa.int64())], ["hash"])
 
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    counts = texts.mapInArrow(hashes, "hash bigint").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    marks = spark.sparkContext.broadcast(C.bitmap(counts, "hash").tobytes())
+    marks = C.Marks(C.cut(texts.mapInArrow(hashes, "hash bigint").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")), "hash")
 
     def marked(part):
         """(doc_id, text, what find gives) of the hashes that may repeat."""
         for i, t in rows_of(part):
             if got := list(find(t)):
-                for k in np.flatnonzero(C.in_bitmap(marks.value, np.array([x[0] for x in got], np.int64))).tolist():
+                for k in np.flatnonzero(marks.has(np.array([x[0] for x in got], np.int64))).tolist():
                     yield i, t, got[k]
 
     def scan(batches):
@@ -138,45 +147,34 @@ def dedup(docs: DataFrame, find=found) -> DataFrame:
                 last, sig, got = None, 0, []
                 for i, t, x in marked(part):
                     if t is not last:
-                        last, sig = t, long64(t)
+                        last, sig = t, halves(t)[0]
                     got.append((i, sig, *x))
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 3 else pa.int32()) for k, x in enumerate(zip(*got))], ["doc_id", "sig", "hash", "begin", "stop", "nth"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 4 else pa.int32()) for k, x in enumerate(zip(*got))], ["doc_id", "sig", "hash", "hash2", "begin", "stop", "nth"])
 
-    repeated = texts.mapInArrow(scan, where).distinct()
+    repeated = texts.mapInArrow(scan, "doc_id bigint, sig bigint, hash bigint, hash2 bigint, begin int, stop int, nth int").distinct()
 
     def bytes_of(batches):
         for batch in batches:
             for part in C.slices(batch, "text"):
-                got = [(i, h, t[a:b]) for i, t, (h, a, b, _) in marked(part)]
+                got = [(i, halves(t)[0], h, h2, t[a:b]) for i, t, (h, h2, a, b, _) in marked(part)]
                 if got:
-                    ids, hashes, data = zip(*got)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "hash", "data"])
-
-    equal = texts.mapInArrow(bytes_of, "doc_id bigint, hash bigint, data binary").groupBy("hash", "data").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    first = equal.groupBy("hash").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1 and kinds = 1").select("hash", "first_doc")
-    gone = repeated.join(first, "hash").where("doc_id <> first_doc or nth > 0").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    gone = C.cut(gone)
-    touched = spark.sparkContext.broadcast(C.bitmap(gone, "doc_id").tobytes())
-
-    columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_bytes")]
-    docs = docs.select(columns)
-
-    def side(hit: bool):
-        def keep(batches):
-            for batch in batches:
-                ids = C.column(batch, "doc_id")
-                marked = C.in_bitmap(touched.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(marked == hit))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], ["doc_id", "sig", "hash", "hash2", "data"])
 
-        return docs.mapInArrow(keep, docs.schema)
+    where = F.struct("doc_id", "sig")
+    equal = texts.mapInArrow(bytes_of, "doc_id bigint, sig bigint, hash bigint, hash2 bigint, data binary").groupBy("hash", "hash2", "data").agg(F.min(where).alias("first"), F.count("*").alias("n"))
+    first = equal.groupBy("hash", "hash2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1 and kinds = 1").select("hash", "hash2", "first")
+    gone = C.cut(repeated.join(first, ["hash", "hash2"]).where((where != F.col("first")) | (F.col("nth") > 0)).groupBy("doc_id", "sig").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")))
+    clear, touched = C.Marks(gone, "doc_id").split(docs, "doc_id")
+    spans = free_name(docs, "spans")
 
     def cut(batches):
         for batch in batches:
-            texts, spans = C.column(batch, "text"), C.column(batch, "_spans").to_pylist()
+            texts, cuts = C.column(batch, "text"), C.column(batch, spans).to_pylist()
             raw = [bytes(t.as_buffer()) if t.is_valid else None for t in texts]
             new, count, size = [], [], []
-            for t, s in zip(raw, spans):
+            for t, s in zip(raw, cuts):
                 s = runs(t, [(x["begin"], x["stop"]) for x in s]) if s else []
                 new.append(remove(t, s).decode() if s else None if t is None else t.decode())
                 count.append(len(s))
@@ -184,11 +182,11 @@ def dedup(docs: DataFrame, find=found) -> DataFrame:
             arrays = [pa.array(new, pa.string()) if c == "text" else C.column(batch, c) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(count, pa.int32()), pa.array(size, pa.int64())], [*columns, "removed_chunks", "removed_bytes"])
 
-    gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("sig").alias("_sig"), F.col("spans").alias("_spans"))
-    changed = side(True).withColumn("_own", F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("bigint"))
-    changed = changed.join(gone, (changed.doc_id == gone._doc_id) & (changed._own == gone._sig), "left").drop("_doc_id", "_sig", "_own")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_chunks int, removed_bytes bigint"
-    same = side(False).withColumns({"removed_chunks": F.lit(0), "removed_bytes": F.lit(0).cast("bigint")})
+    sig = free_name(docs, "sig")
+    changed = touched.withColumn(sig, F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("bigint"))
+    changed = changed.join(gone.select("doc_id", F.col("sig").alias(sig), F.col("spans").alias(spans)), ["doc_id", sig], "left").select(*columns, spans)
+    schema = StructType([*docs.schema, StructField("removed_chunks", IntegerType()), StructField("removed_bytes", LongType())])
+    same = clear.withColumns({"removed_chunks": F.lit(0), "removed_bytes": F.lit(0).cast("bigint")})
     return same.unionByName(changed.mapInArrow(cut, schema))
 
 
@@ -196,18 +194,35 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared)
 
 
-#: The form by chunks, ``dedup(docs)``; the query removes all of its chunks and more. In SQL a chunk is the group of lines between ends; equal chunks are grouped by their text.
+_KEPT = """k as (select doc_id, string_agg(line, chr(10) order by i) filter (not gone) || case when last(gone order by i) and bool_or(not gone) then chr(10) else '' end as text from m group by doc_id)
+select d.doc_id, case when d.text = '' then d.text else coalesce(k.text, '') end as text, d.lang, d.source, d.n_chars, coalesce(g.removed_chunks, 0)::int as removed_chunks,
+  (octet_length(encode(d.text)) - octet_length(encode(case when d.text = '' then d.text else coalesce(k.text, '') end)))::bigint as removed_bytes
+from documents d left join k using (doc_id) left join g using (doc_id)
+"""
+_LINES = "with l as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as line from (select doc_id, string_split(text, chr(10)) as x from documents where text <> ''))"
+_BLANK = "trim({}, ' ' || chr(9) || chr(13) || chr(10)) = ''"
+
+#: Every two lines in a row; those that aren't the first of their like, in runs.
 SQL = f"""
-with l as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as line from (select doc_id, string_split(text, chr(10)) as x from documents where text <> '')),
+{_LINES},
+n as (select *, lead(line) over (partition by doc_id order by i) as after from l),
+p as (select doc_id, i from (select doc_id, i, row_number() over (partition by line, after order by doc_id, i) as nth from n where after is not null) where nth > 1),
+r as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as run from p),
+s as (select doc_id, run, min(i) as a, max(i) + 1 as b from r group by all),
+t as (select s.doc_id, run, a, b from s join l on l.doc_id = s.doc_id and l.i between a and b group by all having not bool_and({_BLANK.format("line")})),
+m as (select l.doc_id, l.i, l.line, count(t.a) > 0 as gone from l left join t on t.doc_id = l.doc_id and l.i between t.a and t.b group by all),
+g as (select doc_id, count(*) as removed_chunks from t group by doc_id),
+{_KEPT}"""
+
+#: ``dedup(docs)``, the form by chunks: a chunk is the group of lines between ends; equal chunks are grouped by their text.
+CHUNKS_SQL = f"""
+{_LINES},
 h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from l),
 r as (select *, (h + 31 * coalesce(lag(h, 1) over w, 0) + 961 * coalesce(lag(h, 2) over w, 0)) % {EVERY} = 0 as stop from h window w as (partition by doc_id order by i)),
 s as (select *, coalesce(sum(stop::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as run from r),
 p as (select *, (row_number() over (partition by doc_id, run order by i) - 1) // {MOST} as piece from s),
 c as (select doc_id, run, piece, min(i) as a, count(*) as n, string_agg(line, chr(10) order by i) as body from p group by all),
-e as (select *, row_number() over (partition by body order by doc_id, a) > 1 and n >= {LEAST} and trim(body, ' ' || chr(9) || chr(13) || chr(10)) <> '' as gone from c),
-k as (select p.doc_id, string_agg(line, chr(10) order by i) filter (not gone) || case when last(gone order by i) and bool_or(not gone) then chr(10) else '' end as text from p join e using (doc_id, run, piece) group by p.doc_id),
-g as (select doc_id, count(*) filter (gone) as removed_chunks from e group by doc_id)
-select d.doc_id, case when d.text = '' then d.text else coalesce(k.text, '') end as text, d.lang, d.source, d.n_chars, coalesce(g.removed_chunks, 0)::int as removed_chunks,
-  (octet_length(encode(d.text)) - octet_length(encode(case when d.text = '' then d.text else coalesce(k.text, '') end)))::bigint as removed_bytes
-from documents d left join k using (doc_id) left join g using (doc_id)
-"""
+e as (select *, row_number() over (partition by body order by doc_id, a) > 1 and n >= {LEAST} and not {_BLANK.format("body")} as gone from c),
+m as (select p.doc_id, p.i, p.line, e.gone from p join e using (doc_id, run, piece)),
+g as (select doc_id, count(*) filter (gone) as removed_chunks from e group by doc_id),
+{_KEPT}"""

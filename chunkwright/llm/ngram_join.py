@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join of documents: rare-first prefixes with length, positional and suffix filters.
 
 A document is its set of word n-grams (the words of textscan; fewer than n words make one gram of them all, none make
-no set). Every pair of sets with Jaccard similarity >= threshold is found; nothing is approximate but the 56-bit hashes
-that stand for n-grams.
+no set). Every pair of sets with Jaccard similarity >= threshold is found. Approximate are hashes alone: n-grams stand as 56 bits
+in prefixes and as 48 bits in verification (two words of a pair are mixed up once in some 10**9 pairs), sets as 64 bits (128 where
+copies are told), anchors as 24 bits (a pair is missed if two anchors are mixed up: about once in 10**8 pairs).
 
 How it runs, all of it over every document:
 
@@ -10,21 +11,26 @@ How it runs, all of it over every document:
    document's set signature. The logarithm of a bucket's count, put in front of the n-gram's hash, is the global order:
    rare first. Any order is exact; this one keeps frequent n-grams out of prefixes.
 2. ``candidates``: only each set's probing prefix leaves the scan, packed in one binary row per bucket of tokens and
-   batch. Within a token, sets are met by size, so the length filter ends a scan early; the shorter set counts only by its
+   batch, with a few bytes of each set once a bucket; its signature only where ``own_sets`` found an equal set or another set under its id. Within a token, sets are met by size, so the length filter ends a scan early; the shorter set counts only by its
    (shorter) indexing prefix; then comes the positional filter. Prefixes are longer
    than needed for one common token, by ``asked_for(size)`` - 1, so that a pair must have as many common tokens there, which chance pairs don't.
-   A pair whose tokens just before are the same as well is left to that token; so a run of common tokens is told once: with the run's
-   length, or as enough from 3 on (a 32-bit tag stands for the token before, 8-bit tags for the two after). What is told is summed by pair.
+   Near copies have a hundred tokens in common, in as many buckets. So each set has ANCHORS anchors: tokens of its indexing prefix, drawn by hash
+   with the weight count ** 2, which prefers what a group shares to what an edit made, and DIGEST bytes of a min-hash digest of the whole set. A pair with a common
+   anchor and ALIKE equal bytes is told at the first such anchor alone; other pairs at every common token, to be summed. A token of more than HOT sets is met in a grid of parts of its sets.
 3. ``verify``: the sets of documents in a pair that is left are made again and sent to where the pairs of their group of copies
    meet: the hub is the least id two steps away, the same one for nearly all of a group, so nearly every set is sent once. A hub of many
-   pairs is cut in a grid of blocks of about BLOCK pairs. Each pair is verified once, by the suffix filter with
-   halving and then the exact intersection.
+   pairs is cut in a grid of blocks of about BLOCK pairs. Each pair is verified once, by the suffix filter (the larger side cut at the
+   smaller one's quartiles) and then the exact intersection, one set against all its partners at a time.
 
-Documents of equal sets are one node: the smallest doc_id stands for it and is paired with each of the others (Jaccard 1),
-so a group of k copies costs k - 1 pairs and no set is joined twice. All pairs follow from these.
+Documents of equal sets are one node: the smallest doc_id stands for it, so no set is joined twice.
 
-Result: (doc_a, doc_b, jaccard), doc_a < doc_b, once a pair. Null and empty texts and null ids take part in no pair;
-repeated rows of one doc_id count once; other columns are not read. An empty table gives an empty result.
+Result of the query (``classes``): one row a doc_id, (doc_id, class_id, links, copies). ``class_id`` is the least id that links or equal sets lead to (its own
+where there is none), ``links`` the number of different sets at or above the threshold with the document's own, ``copies`` the number of
+other documents of an equal set. What is verified is counted and joined to classes where it is verified: pairs aren't written.
+``ngram_join`` gives the pairs: (doc_a, doc_b, jaccard), doc_a < doc_b, of different sets by their smallest ids, and each further copy of a set with that id.
+
+Null and empty texts have no links; rows with a null id take no part and have no row; repeated rows of one doc_id count once; different texts under one id
+are sets of one document (its links are those of all of them, counted for each); other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +50,12 @@ N, THRESHOLD, SKETCH_BITS = 2, 0.6, 22
 COMMON, COMMON_SHARE = 4, 1 / 32
 ENOUGH = 1 << 20
 BLOCK = 50_000
+#: Anchors of a set; sets of a token that meet in one task, by the sketch's count.
+ANCHORS, HOT = 3, 20_000
+#: Bytes of a set's digest, and how many must be equal for a pair to be told at an anchor. Bits of an anchor.
+DIGEST, ALIKE = 4, 2
 LOW = np.uint64((1 << 56) - 1)
+VERIFIED = np.uint64((1 << 48) - 1)
 EPS = 1e-9
 
 
@@ -141,182 +152,269 @@ def sketch(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, np.ndarray]:
 
 # 2 ------------------------------------------------------------------------------------------------------------------
 
-ROW = np.dtype([("token", "<u4"), ("sig", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("prev", "<u4"), ("next", "<u2")])
+KINDS = [("sig", "<i8"), ("doc", "<i8"), ("size", "<u4"), ("rows", "<u4"), ("digest", "<u4"), *((f"anchor{k}", "<u4") for k in range(ANCHORS)), ("token", "<u4"), ("pos", "<i4"), ("part", "<u1")]
+BY_SET = 5 + ANCHORS
+TAG = np.uint32((1 << 24) - 1)
+SHARES = np.exp2(np.arange(256) / 4)  # the square of the count that a rank stands for
 
 
-def pack_rows(r: dict[str, np.ndarray]) -> bytes:
-    """Column after column, compressed: rows of one set lie together and repeat its signature and size."""
-    n = len(r["token"])
-    return n.to_bytes(4, "little") + pa.compress(b"".join(r[f].tobytes() for f in ROW.names), codec="zstd", asbytes=True)
+def pack_rows(col: dict[str, np.ndarray]) -> bytes:
+    """Columns by set and by token, byte planes after one another, compressed; ids and places as steps."""
+    col = col | {f: np.diff(col[f].astype(np.int64), prepend=0) for f in ("doc", "pos")}
+    planes = b"".join(np.ascontiguousarray(col[f].astype(kind).view(np.uint8).reshape(len(col[f]), -1).T).tobytes() for f, kind in KINDS)
+    return len(col["sig"]).to_bytes(4, "little") + len(col["token"]).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpack_rows(blob: bytes) -> dict[str, np.ndarray]:
-    n, at, out = int.from_bytes(blob[:4], "little"), 0, {}
-    raw = pa.decompress(blob[4:], decompressed_size=n * ROW.itemsize, codec="zstd", asbytes=True)
-    for f in ROW.names:
-        kind = ROW.fields[f][0]
-        out[f] = np.frombuffer(raw, kind, n, at)
-        at += n * kind.itemsize
-    return out
-
-
-def prefix_rows(grams: np.ndarray, rank: np.ndarray, shift: np.uint64, t: float):
-    """Of one set: mixed tokens of the probing prefix, signature, size, tags of the tokens before and after each."""
+    sets, rows = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    width = [np.dtype(kind).itemsize for _, kind in KINDS]
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=sets * sum(width[:BY_SET]) + rows * sum(width[BY_SET:]), codec="zstd", asbytes=True), np.uint8)
+    at, out = 0, {}
+    for k, ((f, kind), w) in enumerate(zip(KINDS, width)):
+        n = sets if k < BY_SET else rows
+        out[f] = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(kind)
+        at += n * w
+    return out | {f: np.cumsum(out[f], dtype=np.int64) for f in ("doc", "pos")}
+
+
+def parts_of(tokens: np.ndarray, hot: int) -> np.ndarray:
+    """In how many parts a token's sets meet, by the count that its rank stands for."""
+    return np.ceil(np.exp2((tokens >> np.uint64(56)).astype(np.float64) / 8) / hot).astype(np.int64)
+
+
+def anchors(tokens: np.ndarray, own: int, hot: int) -> list[int]:
+    """Of an indexing prefix, ANCHORS tokens that meet in one part (TAG of each, mixed): equal hashes choose alike in sets that have much in common. If there is none, bits of the set's own."""
+    tokens = tokens[parts_of(tokens, hot) <= 1]
+    if not len(tokens):
+        return [own & int(TAG)] * ANCHORS
+    h = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
+    share = SHARES[(tokens >> np.uint64(56)).astype(np.int64)]
+    every = np.stack([(h >> np.uint64(21 * k)) & np.uint64((1 << 21) - 1) for k in range(ANCHORS)]).astype(np.float64)
+    at = (np.log((every + 0.5) / (1 << 21)) / share).argmax(axis=1)
+    return (((mix(tokens[at]) >> np.uint64(32)).astype(np.uint32)) & TAG).tolist()
+
+
+def digest(tokens: np.ndarray) -> int:
+    """A byte of the least hash in each of DIGEST ranges of hashes (0 in an empty one)."""
+    h = np.sort(mix(tokens + np.uint64(0x632BE59BD9B4E019)))
+    edge = np.searchsorted(h, np.arange(DIGEST, dtype=np.uint64) << np.uint64(62))
+    least = h[np.minimum(edge, len(h) - 1)]
+    whole = (least >> np.uint64(62)) == np.arange(DIGEST, dtype=np.uint64)
+    return int.from_bytes(np.where(whole, least & np.uint64(255), 0).astype(np.uint8).tobytes(), "little")
+
+
+def prefix_rows(grams: np.ndarray, rank: np.ndarray, shift: np.uint64, t: float, hot: int):
+    """Of one set: the tokens of the probing prefix, signature, size, digest, anchors."""
     tokens = ordered(grams, rank, shift)
-    p = min(int(probe_prefix(len(tokens), t)), len(tokens))
-    mixed = mix(tokens[: p + 2])
-    before, after = np.zeros(p, np.uint32), np.zeros(p + 2, np.uint16)
-    before[1:] = (mixed[: p - 1] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    tags = (mixed >> np.uint64(24)).astype(np.uint8).astype(np.uint16) | np.uint16(1)
-    after[: len(tags) - 1] = tags[1:]
-    after[: max(0, len(tags) - 2)] |= tags[2:] << np.uint16(8)
-    after = after[:p]
-    return mixed[:p], signature(tokens)[0], len(tokens), before, after
-
-
-def pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, pos: np.ndarray, prev: np.ndarray, after: np.ndarray, t: float):
-    """Candidate pairs among the rows of some tokens (all rows of each): arrays of sig_a, sig_b, weight, block by block. The smaller set comes first."""
-    order = np.lexsort((pos, sig, size, token))
-    token, sig, size, pos, prev, after = (x[order] for x in (token, sig, size.astype(np.int64), pos.astype(np.int64), prev, after))
-    if not len(token):
-        return
-    same = np.zeros(len(token), bool)
-    same[1:] = (token[1:] == token[:-1]) & (sig[1:] == sig[:-1]) & (size[1:] == size[:-1])
-    token, sig, size, pos, prev, after = (x[~same] for x in (token, sig, size, pos, prev, after))
-    edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-    end = np.repeat(edges[1:], np.diff(edges))
-    at = np.flatnonzero(pos < index_prefix(size, t))
-    d = 1
-    while len(at):
-        at = at[at + d < end[at]]
-        other = at + d
-        fits = size[at] >= t * size[other] - EPS
-        at, other = at[fits], other[fits]  # sizes only grow from here: the rest of the token is too long as well
-        a, b = size[at], size[other]
-        overlap = np.ceil(t / (1 + t) * (a + b) - EPS)
-        good = np.minimum(pos[at], pos[other]) + 1 + np.minimum(a - pos[at] - 1, b - pos[other] - 1) >= overlap
-        good &= (prev[at] == 0) | (prev[at] != prev[other])
-        if good.any():
-            need = np.minimum(asked_for(a), overlap)[good]
-            at_, other_ = at[good], other[good]
-            p, q = after[at_], after[other_]
-            second = ((p & 0xFF) == (q & 0xFF)) & ((p & 0xFF) > 0)
-            third = second & (p == q) & (p > 0xFF)
-            weight = np.ceil(ENOUGH / need).astype(np.int64)
-            yield sig[at_], sig[other_], np.where(third, ENOUGH, weight * (1 + second))
-        d += 1
-
-
-def candidates(docs: DataFrame, rank: np.ndarray, n: int, t: float, bits: int) -> DataFrame:
-    """(sig_a, sig_b), once a pair. The number of buckets of tokens follows spark.sql.shuffle.partitions, which follows the input."""
+    n, sig = len(tokens), signature(tokens)[0]
+    return tokens[: min(int(probe_prefix(n, t)), n)], sig, n, digest(tokens), anchors(tokens[: max(1, min(int(index_prefix(n, t)), n))], sig, hot)
+
+
+def spread(tokens: np.ndarray, sig: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, mixed token, part) of every row. A token that the sketch counts n > hot times has its sets in ceil(n / hot) parts, and a row for each pair of its
+    own part with another: there, parts 0 and 1 meet each other alone; among themselves, as part 2."""
+    mixed, part = mix(tokens), np.full(len(tokens), 2, np.uint8)
+    many = parts_of(tokens, hot)
+    row = np.arange(len(tokens))
+    at = np.flatnonzero(many > 1)
+    if not len(at):
+        return row, mixed, part
+    copy = np.repeat(at, many[at])
+    other = np.arange(len(copy)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+    own = (mix(sig[copy].view(np.uint64)) % many[copy].astype(np.uint64)).astype(np.int64)
+    cell = mix(mixed[copy] ^ (np.minimum(own, other) * many[copy] + np.maximum(own, other) + 1).astype(np.uint64))
+    sides = np.where(own == other, 2, np.where(own < other, 0, 1)).astype(np.uint8)
+    cool = many <= 1
+    return np.r_[row[cool], copy], np.r_[mixed[cool], cell], np.r_[part[cool], sides]
+
+
+def pairs_of(col: dict[str, np.ndarray], t: float):
+    """Candidate pairs among the rows of some tokens (all rows of each): the sets (sig, doc), and block by block arrays of a, b (numbers of sets) and weight. The smaller set comes first."""
+    size_of = col["size"].astype(np.int64)
+    order = np.lexsort((col["doc"], col["sig"], size_of))
+    first = np.ones(len(order), bool)
+    differs = lambda x: x[order][1:] != x[order][:-1]
+    first[1:] = differs(size_of) | differs(col["sig"]) | (col["sig"][order][1:] == 0) & differs(col["doc"])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(first) - 1  # sets by size; rows of equal sets are one, of the least id
+    heads = order[first]
+    sig, doc, size_of = col["sig"][heads], col["doc"][heads], size_of[heads]
+    anchor = [col[f"anchor{k}"][heads] for k in range(ANCHORS)]
+    marks = col["digest"][heads].view(np.uint8).reshape(-1, DIGEST)
+    owner = np.repeat(number, col["rows"])
+    key = (col["token"].astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64)
+    by = np.lexsort((col["part"], key))
+    key, pos, part = key[by], col["pos"][by], col["part"][by]
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+    key, pos, part = key[~same], pos[~same], part[~same]
+    node, token = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32)
+    size = size_of[node]
+
+    def blocks():
+        edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
+        end = np.repeat(edges[1:], np.diff(edges))
+        at = np.flatnonzero(pos < index_prefix(size, t))
+        d = 1
+        while len(at):
+            at = at[at + d < end[at]]
+            other = at + d
+            fits = size[at] >= t * size[other] - EPS
+            at, other = at[fits], other[fits]  # sizes only grow from here: the rest of the token is too long as well
+            a, b = size[at], size[other]
+            overlap = np.ceil(t / (1 + t) * (a + b) - EPS)
+            good = np.minimum(pos[at], pos[other]) + 1 + np.minimum(a - pos[at] - 1, b - pos[other] - 1) >= overlap
+            good &= (part[at] == 2) | (part[at] != part[other])
+            good &= node[at] != node[other]
+            x, y = at[good], other[good]
+            if len(x):
+                weight = np.ceil(ENOUGH / np.minimum(asked_for(size[x]), overlap[good])).astype(np.int64)
+                untold = (marks[node[x]] == marks[node[y]]).sum(axis=1) >= ALIKE
+                for one in anchor:
+                    shared = untold & (one[node[x]] == one[node[y]])
+                    weight[shared] = np.where(one[node[x[shared]]] == token[x[shared]] & TAG, ENOUGH, 0)
+                    untold &= ~shared
+                told = weight > 0
+                yield node[x[told]], node[y[told]], weight[told]
+            d += 1
+
+    return sig, doc, blocks()
+
+
+def candidates(docs: DataFrame, known: C.Marks, rank: np.ndarray, n: int, t: float, bits: int, hot: int = HOT) -> DataFrame:
+    """(doc_a, sig_a, doc_b, sig_b), once a pair, by the least ids of its sets; sig is 0 for ids that known doesn't mark. The number of buckets of tokens follows
+    spark.sql.shuffle.partitions, which follows the input, so that a bucket has some 40 MB at any size."""
     spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     shared = spark.sparkContext.broadcast(rank.tobytes())
     shift = np.uint64(64 - bits)
 
     def scan(batches):
         order = np.frombuffer(shared.value, np.uint8)
-        heads, sigs, sizes, tags, nexts, held = [], [], [], [], [], 0
+        heads, sets, held = [], [], 0
 
         def flush():
             count = np.array([len(h) for h in heads])
-            token = np.concatenate(heads)
-            first = np.cumsum(count) - count
-            col = {"token": (token >> np.uint64(32)).astype(np.uint32), "sig": np.repeat(np.array(sigs, np.int64), count), "size": np.repeat(np.array(sizes, np.uint32), count), "pos": (np.arange(len(token)) - np.repeat(first, count)).astype(np.uint32), "prev": np.concatenate(tags), "next": np.concatenate(nexts)}
+            doc, sig, size, marks, chosen = zip(*sets)
+            doc, sig, size, marks, anchor = np.array(doc), np.array(sig), np.array(size), np.array(marks, np.uint32), np.array(chosen, np.uint32).T
+            owner = np.repeat(np.arange(len(count)), count)
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            row, token, part = spread(np.concatenate(heads), np.where(sig == 0, doc, sig)[owner], hot)
+            owner, pos = owner[row], pos[row]
             bucket = ((token & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            col = {k: v[by] for k, v in col.items()}
+            by = np.lexsort((owner, bucket))
+            owner, pos, part, token = owner[by], pos[by], part[by], (token >> np.uint64(32))[by]
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             kept = np.flatnonzero(np.diff(edges))
-            blobs = [pack_rows({k: v[edges[i] : edges[i + 1]] for k, v in col.items()}) for i in kept]
+            blobs = []
+            for i in kept:
+                some = slice(edges[i], edges[i + 1])
+                own, rows = np.unique(owner[some], return_counts=True)
+                col = {"sig": sig[own], "doc": doc[own], "size": size[own], "rows": rows, "digest": marks[own], "token": token[some], "pos": pos[some], "part": part[some]}
+                blobs.append(pack_rows(col | {f"anchor{k}": a[own] for k, a in enumerate(anchor)}))
             return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
         for batch in batches:
             for part in C.slices(batch, "text"):
-                for _, g in gram_sets(part, n):
-                    h, s, k, tag, after = prefix_rows(g, order, shift, t)
-                    heads.append(h), sigs.append(s), sizes.append(k), tags.append(tag), nexts.append(after)
+                ids = C.column(part, "doc_id").to_numpy(zero_copy_only=False)
+                marked = known.has(ids)
+                for k, g in gram_sets(part, n):
+                    h, sig, *rest = prefix_rows(g, order, shift, t, hot)
+                    heads.append(h), sets.append((int(ids[k]), sig if marked[k] else 0, *rest))
                     held += len(h)
                 if held > 700_000:
                     yield flush()
-                    heads, sigs, sizes, tags, nexts, held = [], [], [], [], [], 0
+                    heads, sets, held = [], [], 0
         if heads:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
         got = [unpack_rows(b.as_py()) for b in table.column("rows")]
-        col = {f: np.concatenate([g[f] for g in got]) for f in ROW.names}
-        del got
-        pairs, weight, out, held = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), [], 0
+        col = {f: np.concatenate([g.pop(f) for g in got]) for f, _ in KINDS}
+        sig, doc, blocks = pairs_of(col, t)
+        del got, col
+        pairs, weight, out, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def add():
-            every = np.concatenate([pairs, *(x for x, _ in out)])
-            weights = np.concatenate([weight, *(w for _, w in out)])
-            order = np.lexsort((every[:, 1], every[:, 0]))
-            every = every[order]
-            start = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]).any(axis=1)])
-            return every[start], np.minimum(np.add.reduceat(weights[order], start), ENOUGH)
-
-        for a, b, w in pairs_of(*(col[f] for f in ROW.names), t):
-            out.append((np.stack([a, b], 1), w))
+            every, at = np.unique(np.concatenate([pairs, *(x for x, _ in out)]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([weight, *(w for _, w in out)]), len(every))
+            return every, np.minimum(total, ENOUGH).astype(np.int64)
+
+        for a, b, w in blocks:
+            out.append((a * len(sig) + b, w))
             held += len(a)
             if held > 2_000_000:
                 pairs, weight = add()
                 out, held = [], 0
         if out:
             pairs, weight = add()
-        return pa.table({"sig_a": pairs[:, 0], "sig_b": pairs[:, 1], "weight": weight})
+        a, b = np.divmod(pairs, max(1, len(sig)))
+        return pa.table({"doc_a": doc[a], "sig_a": sig[a], "doc_b": doc[b], "sig_b": sig[b], "weight": weight})
 
-    rows = docs.select("doc_id", "text").where("doc_id is not null").select("text").mapInArrow(scan, "bucket int, rows binary")
-    met = rows.groupBy("bucket").applyInArrow(meet, "sig_a bigint, sig_b bigint, weight bigint")
-    return met.groupBy("sig_a", "sig_b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= ENOUGH).select("sig_a", "sig_b")
+    key = ["doc_a", "sig_a", "doc_b", "sig_b"]
+    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(scan, "bucket int, rows binary")
+    met = rows.groupBy("bucket").applyInArrow(meet, ", ".join(f"{c} bigint" for c in [*key, "weight"]))
+    return met.groupBy(*key).agg(F.sum("weight").alias("weight")).where(F.col("weight") >= ENOUGH).select(*key)
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int:
-    """A lower bound of the Hamming distance of two sorted sets, by halving one and cutting the other at its middle token; it stops beyond most."""
-    if depth == 0 or len(x) == 0 or len(y) == 0:
-        return abs(len(x) - len(y))
-    m = len(y) // 2
-    w = y[m]
-    k = int(np.searchsorted(x, w))
-    found = k < len(x) and x[k] == w
-    right = x[k + 1 :] if found else x[k:]
-    left, gap = x[:k], int(not found)
-    far = abs(len(left) - m) + abs(len(right) - (len(y) - m - 1)) + gap
-    if far > most:
-        return far
-    low = suffix_bound(left, y[:m], most - abs(len(right) - (len(y) - m - 1)) - gap, depth - 1)
-    far = low + abs(len(right) - (len(y) - m - 1)) + gap
-    if far > most:
-        return far
-    return low + suffix_bound(right, y[m + 1 :], most - low - gap, depth - 1) + gap
-
-
-def similarity(x: np.ndarray, y: np.ndarray, t: float) -> float:
-    """Jaccard of two sorted sets, or -1 where the suffix filter shows that it is below t."""
-    total = len(x) + len(y)
-    most = total - 2 * math.ceil(t / (1 + t) * total - EPS)
-    if suffix_bound(x, y, most) > most:
-        return -1.0
-    both = np.concatenate([x, y])
-    both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common / (total - common)
-
-
-def named(info: DataFrame, cand: DataFrame) -> DataFrame:
-    """(doc_a, sig_a, doc_b, sig_b): candidates as documents, the smallest id of each set."""
-    sigs = cand.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    reps = info.join(sigs, "sig", "left_semi").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"))
-    side = lambda x: reps.select(F.col("sig").alias(f"sig_{x}"), F.col("doc_id").alias(f"doc_{x}"))
-    return cand.join(side("a"), "sig_a").join(side("b"), "sig_b").where("doc_a <> doc_b").select("doc_a", "sig_a", "doc_b", "sig_b")
-
-
-def verify(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, n: int, t: float, bits: int) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the pairs at or above t."""
+def pack_set(grams: np.ndarray) -> bytes:
+    """A sorted set of 48-bit numbers: the low 32 bits as they are, of the high 16 the steps."""
+    high = (grams >> np.uint64(32)).astype(np.int64)
+    step = np.diff(high, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return grams.astype("<u4").tobytes() + pa.compress(np.ascontiguousarray(step.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_set(blob: bytes, size: int) -> np.ndarray:
+    low = np.frombuffer(blob, "<u4", size).astype(np.uint64)
+    step = np.frombuffer(pa.decompress(blob[4 * size :], decompressed_size=2 * size, codec="zstd", asbytes=True), np.uint8).reshape(2, size)
+    return (np.cumsum(step[0].astype(np.uint64) + (step[1].astype(np.uint64) << np.uint64(8))) << np.uint64(32)) | low
+
+
+def suffix_bounds(x: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A lower bound of the Hamming distance of x and each of the sets that lie in flat one after another: x is halved twice, the others are cut at the same tokens."""
+    cuts = x[[len(x) // 4, len(x) // 2, 3 * len(x) // 4]]
+    mine = np.diff(np.r_[0, np.searchsorted(x, cuts), len(x)])
+    below = [np.add.reduceat(flat < c, starts, dtype=np.int64) for c in cuts]
+    return sum(np.abs(m - (b - a)) for m, a, b in zip(mine, [0, *below], [*below, sizes]))
+
+
+def similarities(x: np.ndarray, others: list[np.ndarray], t: float) -> np.ndarray:
+    """Jaccard of the sorted set x with each of the others, or -1 where the suffix filter shows that it is below t."""
+    sizes = np.array([len(y) for y in others])
+    total = len(x) + sizes
+    flat = np.concatenate(others)
+    far = suffix_bounds(x, flat, np.cumsum(sizes) - sizes, sizes)
+    near = far <= total - 2 * np.ceil(t / (1 + t) * total - EPS)
+    out = np.full(len(others), -1.0)
+    if near.any():
+        if not near.all():
+            flat = flat[np.repeat(near, sizes)]
+        sizes, total = sizes[near], total[near]
+        common = np.add.reduceat(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+        out[near] = common / (total - common)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, nodes: int) -> list[int]:
+    """Which of the edges join what wasn't joined by those before."""
+    up, used = list(range(nodes)), []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[x] = y
+            used.append(k)
+    return used
+
+
+def verify(docs: DataFrame, known: C.Marks, pairs: DataFrame, n: int, t: float, expand: bool) -> DataFrame:
+    """expand: (doc_a, doc_b, jaccard) of the pairs at or above t. Otherwise (doc_id, sig, links) of each set and place, and (doc_a, doc_b) of edges that connect as all of
+    the place's pairs do; the other columns are null."""
     spark = docs.sparkSession
     buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     edges = pairs.select("doc_a", "doc_b").union(pairs.select("doc_b", "doc_a"))
@@ -326,45 +424,91 @@ def verify(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, n: int, t: float
     grid = at_hub.groupBy("hub").agg(F.ceil(F.sqrt(F.count("*") / BLOCK)).alias("side"))
     cell = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
     placed = C.cut(at_hub.join(grid, "hub").withColumn("bucket", F.pmod(F.xxhash64("hub", cell("doc_a"), cell("doc_b")), F.lit(buckets)).cast("int")).select("bucket", "doc_a", "sig_a", "doc_b", "sig_b"))
-    asked = placed.select(F.col("bucket").alias("place"), F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("sig_a").alias("sig")), F.struct(F.col("doc_b").alias("doc_id"), F.col("sig_b").alias("sig")))).alias("x")).select("place", "x.*").distinct()
-    marks = spark.sparkContext.broadcast(C.bitmap(asked, "doc_id").tobytes())
-    order = spark.sparkContext.broadcast(rank.tobytes())
-    shift = np.uint64(64 - bits)
+    side = lambda x: placed.select(F.col("bucket").alias("place"), F.col(f"doc_{x}").alias("doc_id"), F.col(f"sig_{x}").alias("sig"))
+    asked = C.cut(side("a").union(side("b")).distinct())
+    marks = C.Marks(asked, "doc_id")
 
     def sets(batches):
-        ranks = np.frombuffer(order.value, np.uint8)
         for batch in batches:
-            hit = C.in_bitmap(marks.value, C.column(batch, "doc_id").to_numpy(zero_copy_only=False))
+            hit = marks.has(C.column(batch, "doc_id").to_numpy(zero_copy_only=False))
             for part in C.slices(batch.filter(pa.array(hit)), "text"):
-                own, at, sig, blob = C.column(part, "doc_id").to_numpy(zero_copy_only=False), [], [], []
+                own, rows = C.column(part, "doc_id").to_numpy(zero_copy_only=False), []
+                signed = known.has(own)
                 for k, g in gram_sets(part, n):
-                    tokens = ordered(g, ranks, shift)
-                    at.append(own[k]), sig.append(signature(tokens)[0]), blob.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sig, pa.int64()), pa.array(blob, pa.binary())], ["doc_id", "sig", "tokens"])
+                    u = unique_sorted(g & VERIFIED)
+                    rows.append((own[k], signature(unique_sorted(g & LOW))[0] if signed[k] else 0, len(u), pack_set(u)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "sig", "size", "grams"])
 
-    made = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "doc_id bigint, sig bigint, tokens binary")
-    sent = made.join(asked, ["doc_id", "sig"]).select("place", "doc_id", "sig", "tokens")
+    made = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "doc_id bigint, sig bigint, size int, grams binary").dropDuplicates(["doc_id", "sig"])
+    sent = made.join(asked, ["doc_id", "sig"]).select("place", "sig", "doc_id", "size", "grams")
 
     def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        held = {k: np.frombuffer(x.as_buffer(), np.uint64) for k, x in zip(zip(sets.column("doc_id").to_pylist(), sets.column("sig").to_pylist()), sets.column("tokens"))}
-        rows = zip(*(pairs.column(c).to_pylist() for c in ("doc_a", "sig_a", "doc_b", "sig_b")))
-        out = [(min(a, b), max(a, b), j) for a, s, b, r in rows if (j := similarity(held[a, s], held[b, r], t)) >= t - EPS]
-        a, b, j = zip(*out) if out else ((), (), ())
-        return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
-
-    return placed.groupBy("bucket").cogroup(sent.groupBy("place")).applyInArrow(check, "doc_a bigint, doc_b bigint, jaccard double")
+        sig, doc = sets.column("sig").to_numpy(), sets.column("doc_id").to_numpy()
+        number = {x: k for k, x in enumerate(zip(doc.tolist(), sig.tolist()))}
+        held = [unpack_set(blob.as_buffer(), size.as_py()) for blob, size in zip(sets.column("grams"), sets.column("size"))]
+        a, b = (np.array([number[x] for x in zip(pairs.column(f"doc_{c}").to_pylist(), pairs.column(f"sig_{c}").to_pylist())], np.int64) for c in "ab")
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        j = np.full(len(a), -1.0)
+        edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else np.zeros(1, np.int64)
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            x = held[a[low]]
+            step = max(1, 2_000_000 // len(x))
+            for k in range(low, high, step):
+                to = min(k + step, high)
+                j[k:to] = similarities(x, [held[i] for i in b[k:to].tolist()], t)
+        good = j >= t - EPS
+        a, b, j = a[good], b[good], j[good]
+        if expand:
+            return pa.table({"doc_a": np.minimum(doc[a], doc[b]), "doc_b": np.maximum(doc[a], doc[b]), "jaccard": j})
+        links = np.bincount(np.r_[a, b], minlength=len(sig)).astype(np.int64)
+        linked = np.flatnonzero(links)
+        used = forest(a, b, len(sig))
+        none, none_too = pa.nulls(len(used), pa.int64()), pa.nulls(len(linked), pa.int64())
+        whole = lambda x, y: pa.concat_arrays([x.cast(pa.int64()), y.cast(pa.int64())])
+        return pa.table({"doc_id": whole(pa.array(doc[linked]), none), "sig": whole(pa.array(sig[linked]), none), "links": whole(pa.array(links[linked]), none), "doc_a": whole(none_too, pa.array(doc[a[used]])), "doc_b": whole(none_too, pa.array(doc[b[used]]))})
+
+    return placed.groupBy("bucket").cogroup(sent.groupBy("place")).applyInArrow(check, "doc_a bigint, doc_b bigint, jaccard double" if expand else "doc_id bigint, sig bigint, links bigint, doc_a bigint, doc_b bigint")
+
+
+def own_sets(info: DataFrame) -> DataFrame:
+    """(doc_id, sig, sig2, rep, copies) of each document and set of it: the least id of an equal set, and how many other documents have one."""
+    info = info.select("doc_id", "sig", "sig2").distinct()
+    reps = info.groupBy("sig", "sig2").agg(F.min("doc_id").alias("rep"), (F.count("*") - 1).alias("copies"))
+    return C.cut(info.join(reps, ["sig", "sig2"]))
+
+
+def found(docs: DataFrame, n: int, threshold: float, sketch_bits: int, hot: int, expand: bool) -> tuple[DataFrame, DataFrame]:
+    """What own_sets gives, and what verify gives."""
+    with C.small_batches(docs.sparkSession):
+        info, rank = sketch(docs, n, sketch_bits)
+        own = own_sets(info)
+        several = own.groupBy("doc_id").agg((F.sum("copies") + F.count("*")).alias("n")).where("n > 1").select("doc_id")
+        known = C.Marks(C.cut(several), "doc_id")
+        cand = C.cut(candidates(docs, known, rank, n, threshold, sketch_bits, hot))
+        return own, C.cut(verify(docs, known, cand, n, threshold, expand))
+
+
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sketch_bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
+    """All pairs of documents whose n-gram sets have Jaccard >= threshold; see the module's text for the result's form."""
+    own, near = found(docs, n, threshold, sketch_bits, hot, expand=True)
+    copies = own.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return near.where("doc_a <> doc_b").unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """All pairs of documents whose n-gram sets have Jaccard >= threshold; see the module's text for the result's form."""
-    C.small_batches(docs.sparkSession)
-    info, rank = sketch(docs, n, sketch_bits)
-    cand = C.cut(candidates(docs, rank, n, threshold, sketch_bits))
-    C.release(docs.sparkSession)
-    near = verify(docs, C.cut(named(info, cand)), rank, n, threshold, sketch_bits)
-    reps = info.groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_a"))
-    copies = info.join(reps, ["sig", "sig2"]).where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    return near.unionByName(copies).dropDuplicates(["doc_a", "doc_b"])
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sketch_bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
+    """(doc_id, class_id, links, copies) of each doc_id; see the module's text."""
+    own, told = found(docs, n, threshold, sketch_bits, hot, expand=False)
+    edges = told.where("doc_a is not null").select("doc_a", "doc_b").unionByName(own.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+    label = components(edges)
+    linked = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("rep"), F.col("sig").alias("of")).agg(F.sum("links").alias("links"))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint").alias("group")
+    rows = docs.where("doc_id is not null").select("doc_id", none, zero.alias("links"), zero.alias("copies"))
+    rows = rows.unionByName(label.select("doc_id", "group", zero.alias("links"), zero.alias("copies")))
+    rows = rows.unionByName(own.where("copies > 0").select("doc_id", none, zero.alias("links"), "copies"))
+    rows = rows.unionByName(own.join(linked, "rep").where("of = 0 or of = sig").select("doc_id", none, "links", zero.alias("copies")))
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min("group"), F.col("doc_id")).alias("class_id"), F.sum("links").alias("links"), F.sum("copies").alias("copies"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -383,25 +527,29 @@ def components(pairs: DataFrame) -> DataFrame:
             return label
 
 
-def drop_near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one of the smallest id. Rows of no group, and rows without an id, stay."""
-    gone = C.cut(components(pairs).where("doc_id <> group").select("doc_id"))
-    C.release(docs.sparkSession)
-    return C.without(docs, gone, "doc_id")
+def drop_near_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs with one document of each class: the one of the smallest id. Rows without an id stay."""
+    return C.without(docs, C.cut(classes.where("doc_id <> class_id").select("doc_id")), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Brute force over all pairs of distinct sets, in DuckDB.
 SQL = rf"""
-with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[0-9a-z\x{{c0}}-\x{{1fff}}\x{{2080}}-\x{{2fff}}\x{{3040}}-\x{{10ffff}}]+'), lambda x: x <> '') as w from documents where doc_id is not null and text is not null),
-s as (select doc_id, list_sort(list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) end)) as g from w where len(w) > 0),
-r as (select g, min(doc_id) as rep, len(g) as size from s group by g),
-e as (select rep, size, unnest(g) as t from r),
-c as (select x.rep as a, y.rep as b, count(*) as n, any_value(x.size) as sa, any_value(y.size) as sb from e x join e y on x.t = y.t and x.rep < y.rep and least(x.size, y.size) >= {THRESHOLD} * greatest(x.size, y.size) - 1e-9 group by 1, 2)
-select a as doc_a, b as doc_b, n / (sa + sb - n)::double as jaccard from c where n / (sa + sb - n)::double >= {THRESHOLD} - 1e-9
-union all
-select distinct r.rep, s.doc_id, 1.0::double from s join r on s.g = r.g where s.doc_id <> r.rep
+with recursive w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[0-9a-z\x{{c0}}-\x{{1fff}}\x{{2080}}-\x{{2fff}}\x{{3040}}-\x{{10ffff}}]+'), lambda x: x <> '') as w from documents where doc_id is not null and text is not null),
+s as (select distinct doc_id, list_sort(list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) end)) as g from w where len(w) > 0),
+r as materialized (select g, row_number() over () as k, min(doc_id) as rep, count(*) - 1 as copies, len(g) as size from s group by g),
+e as materialized (select k, size, unnest(g) as t from r),
+c as materialized (select x.k as a, y.k as b, count(*) as n, any_value(x.size) as sa, any_value(y.size) as sb from e x join e y on x.t = y.t and x.k < y.k and least(x.size, y.size) >= {THRESHOLD} * greatest(x.size, y.size) - 1e-9 group by 1, 2 having n / (sa + sb - n)::double >= {THRESHOLD} - 1e-9),
+l as (select k, count(*) as links from (select a as k from c union all select b from c) group by k),
+m as materialized (select s.doc_id, r.k, r.rep, r.copies from s join r on s.g = r.g),
+p as (select x.rep as a, y.rep as b from c join r x on x.k = c.a join r y on y.k = c.b union select rep, doc_id from m),
+q as materialized (select a, b from p union select b, a from p),
+z as (select a, b from q union select z.a, q.b from z join q on z.b = q.a),
+f as (select a as doc_id, min(b) as class_id from z group by a),
+o as (select doc_id, sum(coalesce(links, 0)) as links, sum(copies) as copies from m left join l using (k) group by doc_id)
+select d.doc_id, coalesce(f.class_id, d.doc_id) as class_id, coalesce(o.links, 0)::bigint as links, coalesce(o.copies, 0)::bigint as copies
+from (select distinct doc_id from documents where doc_id is not null) d left join f using (doc_id) left join o using (doc_id)
 """

@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that n-gram similarity joins, the document of the least id stays."""
-    return ngram_join.drop_near_copies(docs, ngram_join.ngram_join(docs))
+    """Of each class that n-gram similarity joins, the document of the least id stays."""
+    return ngram_join.drop_near_copies(docs, ngram_join.classes(docs))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,6 @@ def nasty(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(NASTY, SCHEMA)
-    for name in ("shard", "epoch", "removed_chunks", "removed_bytes", "score", "language", "sig", "size", "domain", "bucket", "jaccard", "group", "kind"):
+    for name in ("shard", "epoch", "removed_chunks", "removed_bytes", "score", "language", "sig", "size", "domain", "bucket", "jaccard", "group", "kind", "_own", "_sig", "_doc_id", "_spans", "spans", "hash", "_cut", "_epochs", "_domain", "_times", "place", "links", "rep"):
         df = df.withColumn(name, F.lit("mine"))
     return df

@@ -72,15 +72,29 @@ def test_nasty(spark, nasty):
     check(spark, [r for r in rows if not (r[0] == 8 and r[1].startswith("another"))], nasty.select("doc_id", "text", "lang", "source", "n_chars").schema)
     out = L.dedup(nasty)
     assert out.count() == nasty.count() and set(out.columns) == set(nasty.columns)
+    others = [c for c, kind in nasty.dtypes[5:] if c not in ("removed_chunks", "removed_bytes")]
+    assert all(r[c] == "mine" for r in out.collect() for c in others)
     assert L.dedup(nasty.limit(0)).count() == 0
     got = {(r.doc_id, r.text) for r in out.collect() if r.doc_id in (None, 1, 2)}
     assert {(1, None), (2, ""), (None, "a text without an id of some words here")} == got
 
 
-def test_different_bytes_of_one_hash_stay(spark, docs, monkeypatch):
-    monkeypatch.setattr(L, "long64", lambda data: 7)
-    df = spark.createDataFrame([(1, "a\nb\nc\nd\ne\nf", "en", "s", 1), (2, "g\nh\ni\nj\nk\nl", "en", "s", 1)], docs.schema)
-    assert sorted((r.doc_id, r.text) for r in L.dedup(df).collect()) == [(1, "a\nb\nc\nd\ne\nf"), (2, "g\nh\ni\nj\nk\nl")]
+def test_different_bytes_of_one_hash(spark, docs):
+    texts = ["a\nb\nc\nd\ne\nf", "g\nh\ni\nj\nk\nl", "a\nb\nc\nd\ne\nf"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], docs.schema)
+    want = sorted((r[0], r[1]) for r in brute([(i, t) for i, t in enumerate(texts)]))
+    assert want[2] != (2, texts[2])
+    half = lambda text: ((7, *x[1:]) for x in L.found(text))
+    assert sorted((r.doc_id, r.text) for r in L.dedup(df, half).collect()) == want
+    both = lambda text: ((7, 7, *x[2:]) for x in L.found(text))
+    assert sorted((r.doc_id, r.text) for r in L.dedup(df, both).collect()) == list(enumerate(texts))
+
+
+def test_two_texts_of_one_id(spark, docs):
+    """The one of the lesser md5 keeps what they share."""
+    rows = [(1, "a\nb\nx", "en", "s", 1), (1, "y\na\nb", "en", "s", 1)]
+    got = sorted(r.text for r in L.dedup(spark.createDataFrame(rows, docs.schema), L.shared).collect())
+    assert got in (["a\nb\nx", "y\n"], ["x", "y\na\nb"])
 
 
 @settings(max_examples=100, deadline=None)

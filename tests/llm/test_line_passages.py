@@ -59,8 +59,8 @@ def test_counts_and_bytes(spark, docs):
 
 def test_different_bytes_of_one_hash_stay(spark, docs):
     def one_hash(text):
-        for _, begin, end, nth in L.shared(text):
-            yield 7, begin, end, 0
+        for _, _, begin, end, nth in L.shared(text):
+            yield 7, 7, begin, end, 0
 
     rows = [(1, "a\nb", "en", "s", 1), (2, "c\nd", "en", "s", 1)]
     assert got(spark.createDataFrame(rows, docs.schema), one_hash) == [(1, "a\nb"), (2, "c\nd")]
