@@ -18,9 +18,11 @@ fewer words) occur in the passage with half a passage on each side. Of an item i
 averaged (a piece's weight is its score for itself, one not retrieved counts 0) and must reach the threshold; its overlaps are with all of these passages.
 
 Result of ``leaks``: (doc_id, item_id, score, question_overlap, answer_overlap), the best score of each item in each row
-of documents (rounded to 9 digits), no shuffle. Null and empty texts, and items without words, give nothing; repeated rows give repeated
-results; a null id is carried. The index is sent to the executors in shards of at most SHARD items or pieces (one item's stay together), whatever their number;
-document frequencies are those of all items.
+of documents (rounded to 9 digits), no shuffle. Null and empty texts, and items of less than LEAST_WORDS words (any text with such a word would be a leak), give
+nothing; repeated rows give repeated results; a null id is carried.
+The index is in shards of at most SHARD items or pieces (one item's stay together), which bounds what a search holds at once; all shards go to the
+executors together and every text is read and cut into words once, whatever the number of items. Document frequencies are those of all items. The benchmark's words must be at
+most MOST_WORDS (an index of some 500 MB); for more there is an error that says so, and no executor is filled up.
 """
 
 from __future__ import annotations
@@ -34,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkwright.llm import common as C
-from chunkwright.llm.textscan import ngrams, scan_words
+from chunkwright.llm.textscan import Words, ngrams, scan_words
 
 K1, B = 1.2, 0.75
 PASSAGE, THRESHOLD, VERIFY = 128, 0.5, 0.5
 RANGE, SHARD = 8, 512
+#: The least words of an item, and the most of all items together.
+LEAST_WORDS, MOST_WORDS = 3, 5_000_000
 #: Common terms are those of most items, as long as all together they give an item less than this share of the threshold.
 COMMON = 0.5
 GRAM = 3
@@ -222,12 +226,15 @@ class Index:
 
 def build(benchmark: DataFrame, threshold: float) -> list[Index]:
     """The index, in shards. The items come to the driver, as an inverted index of them must; their table is the benchmark's, not the corpus's."""
-    read = []
+    read, held = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         text = r["text"] or ""
         w = scan_words(pa.array([text])).hashes
-        if not len(w):
+        if len(w) < LEAST_WORDS:
             continue
+        held += len(w)
+        if held > MOST_WORDS:
+            raise ValueError(f"the benchmark has more than {MOST_WORDS} words; split it and take the leaks of all parts")
         at = split_item(text, len(w))
         n = len(scan_words(pa.array([text[:at]])).hashes) if at is not None else 0
         if not 0 < n < len(w):
@@ -247,9 +254,14 @@ def build(benchmark: DataFrame, threshold: float) -> list[Index]:
     return [Index(x, idf, mean, threshold) for x in shards]
 
 
-def matches(index: Index, texts: pa.Array, threshold: float, verify: float):
+def matches(shards: list[Index], texts: pa.Array, threshold: float, verify: float):
     """(row, item_id, score, question overlap, answer overlap), the best passage of each item in each row, or all passages of one in pieces."""
     w = scan_words(texts)
+    for index in shards:
+        yield from matches_of(index, w, threshold, verify)
+
+
+def matches_of(index: Index, w: Words, threshold: float, verify: float):
     best: dict[tuple[int, int], tuple] = {}
     long: dict[tuple[int, int], tuple[dict[int, float], list[tuple[int, int]]]] = {}
 
@@ -295,39 +307,33 @@ def grams_near(h: np.ndarray, spans: list[tuple[int, int]]) -> dict[int, np.ndar
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, verify: float = VERIFY) -> DataFrame:
     """One row per row of docs and item found in it."""
-    spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
-    for index in build(benchmark, threshold):
-        shared = spark.sparkContext.broadcast(index)
-
-        def scan(batches, shared=shared):
-            for batch in batches:
-                for part in C.slices(batch, "text"):
-                    ids = C.column(part, "doc_id")
-                    rows = list(matches(shared.value, C.column(part, "text"), threshold, verify))
-                    if rows:
-                        at, item, *rest = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(pa.int64()), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(scan, schema))
-    return out
+    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, threshold))
+
+    def scan(batches):
+        for batch in batches:
+            for part in C.slices(batch, "text"):
+                ids = C.column(part, "doc_id")
+                rows = list(matches(shared.value, C.column(part, "text"), threshold, verify))
+                if rows:
+                    at, item, *rest = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(pa.int64()), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, verify: float = VERIFY) -> DataFrame:
     """docs without the rows that hold a benchmark item. Rows are tested where they are read: nothing is shuffled."""
-    for index in build(benchmark, threshold):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, threshold))
 
-        def scan(batches, shared=shared):
-            for batch in batches:
-                for part in C.slices(batch, "text"):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[r for r, *_ in matches(shared.value, C.column(part, "text"), threshold, verify)]] = False
-                    yield part.filter(pa.array(keep))
+    def scan(batches):
+        for batch in batches:
+            for part in C.slices(batch, "text"):
+                keep = np.ones(part.num_rows, bool)
+                keep[[r for r, *_ in matches(shared.value, C.column(part, "text"), threshold, verify)]] = False
+                yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +353,7 @@ def _overlap(part: str) -> str:
 #: Scores of all passages and items, without an index, and their overlaps.
 SQL = f"""
 with t as (select item_id, {_WORDS.format("text")} as w, len({_QUESTION}) as n from benchmark where text is not null),
-i as (select item_id, w, case when n > 0 and n < len(w) then n else (len(w) + 1) // 2 end as n from t where len(w) > 0),
+i as (select item_id, w, case when n > 0 and n < len(w) then n else (len(w) + 1) // 2 end as n from t where len(w) >= {LEAST_WORDS}),
 p as (select item_id, w[:n] as q, w[n + 1:] as a from i),
 g as (select item_id, {_GRAMS.format("q")} as q, {_GRAMS.format("a")} as a from p),
 f as (select item_id, x, count(*) as f, any_value(size) as size from (select item_id, unnest(w) as x, len(w) as size from i) group by 1, 2),

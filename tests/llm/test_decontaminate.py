@@ -68,3 +68,20 @@ def test_nasty(nasty, bench):
     assert left.columns == nasty.columns and left.count() == nasty.count()
     assert D.leaks(nasty.limit(0), bench[0]).count() == 0
     assert D.leaks(nasty, bench[0].limit(0)).count() == 0 and D.drop_leaks(nasty, bench[0].limit(0)).count() == nasty.count()
+
+
+def test_items_of_one_or_two_words_are_no_leaks(spark, docs):
+    items = spark.createDataFrame([(1, "cat"), (2, "the cat"), (3, "the cat sat")], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, "hello the cat sat here", "en", "s", 1), (2, "hello the cat here", "en", "s", 1), (3, "cat", "en", "s", 1)], docs.schema)
+    assert [(r.doc_id, r.item_id) for r in D.leaks(df, items).collect()] == [(1, 3)]
+    assert {r.doc_id for r in D.drop_leaks(df, items).collect()} == {2, 3}
+
+
+def test_many_items_take_one_scan(spark, docs, corpus):
+    rng = random.Random(3)
+    items = [(k, " ".join(words(rng, 12)) + ". " + " ".join(words(rng, 4)) + ".") for k in range(5000)]
+    df = spark.createDataFrame(corpus[:20] + [(5000 + k, items[k * 499][1], "en", "s", 1) for k in range(10)], docs.schema)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for out in (D.leaks(df, bench), D.drop_leaks(df, bench)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in D.leaks(df, bench).collect()} == {(5000 + k, k * 499) for k in range(10)}
