@@ -5,17 +5,18 @@ a block closes an open p, and li, tr, td, th, dd, dt, option close their like; a
 tag, or is ignored if there is none. The content of script, style, noscript, template, iframe and svg, of comments,
 and of head is dropped; nav, footer, aside, form, button and select count as links (their text is never content). Character references are resolved.
 
-Scoring. Every p, pre, td, blockquote and li of at least 25 characters (blanks run together) of its own (not in another
-such element) gives 1 point, 1 for each comma and 1 for each 100 characters, up to 3, to its parent in full, to
-the grandparent a half, to further ancestors 1 / (3 depth). A candidate's points are multiplied by 1 - link density (the
-characters in links by all characters). The best candidate is taken, of equal ones the first in the page; and of its siblings
-those with at least max(10, a fifth of its score), and p siblings of link density < 0.25 and more than 80 characters, or without
+Scoring. An element's characters are those of its pieces of text (blanks run together, none at a piece's ends), without what is dropped. Every p, pre, td,
+blockquote and li of at least 25 characters of its own (not in another such element) gives 1 point, 1 for each comma and 1 for each
+100 characters, up to 3, to its parent in full, to the grandparent a half, to each further ancestor half of what the one below it got. A candidate's points
+are multiplied by 1 - link density (the characters in links, dropped ones among them, by all characters). The best candidate is taken, of equal ones the first in the page; and of its siblings
+those with at least max(10, a fifth of its score), and p siblings of link density < 0.25 and more than 80 characters of text, or without
 links, shorter and with a sentence end. A page without a candidate gives the text of its body.
 
 Text: the paragraphs of what is kept, blanks run together, one line each; br and block elements end a line.
 
 Result: (page_id, text, score, n_paragraphs) of every row; null for a null page, '' (score 0) for an empty one or one without text.
-Repeated rows give repeated results. Long and deeply nested pages are handled without recursion. No shuffle.
+Repeated rows give repeated results. Long and deeply nested pages are handled without recursion, in time proportional to their length: a tag without an end
+stops at the next "<", and points, characters and commas are sums from the leaves up. No shuffle.
 """
 
 from __future__ import annotations
@@ -28,29 +29,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkwright.llm import common as C
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?![a-zA-Z/!?])|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea title".split())
 BLOCK = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul body html option select".split())
 DROP = frozenset("head nav footer aside form button select".split())
 GIVES = frozenset("p pre td blockquote li".split())
-CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
-#: Elements beyond which an implied end tag doesn't reach.
-BARRIER = {"li": {"ul", "ol", "table"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}}
+#: Of each implied end tag, what it closes and the elements beyond which it doesn't reach.
+REACH = [({"p"}, {"table", "td", "th", "button"}), ({"li"}, {"ul", "ol", "table"}), ({"tr", "td", "th"}, {"table"}), ({"td", "th"}, {"table"}), ({"dd", "dt"}, {"dl"}), ({"option"}, {"select"})]
+KIND = {"li": 1, "tr": 2, "td": 3, "th": 3, "dd": 4, "dt": 4, "option": 5}
+SPECIAL = frozenset().union(*(x | y for x, y in REACH))
 LEAST, PER, SHARE = 25, 100, 0.2
 END = re.compile(r"[.!?](?:\s|$)")
 BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "link", "dropped", "length", "linked", "score", "scored", "order")
+    __slots__ = ("tag", "parent", "parts", "link", "dropped", "length", "linked", "kept", "commas", "score", "scored", "order", "near")
 
     def __init__(self, tag: str, parent: Node | None, order: int):
         self.tag, self.parent, self.parts, self.order = tag, parent, [], order
         self.link = tag == "a" or (parent is not None and parent.link)
         self.dropped = tag in DROP or (parent is not None and parent.dropped)
-        self.length = self.linked = 0
+        self.length = self.linked = self.kept = self.commas = 0
         self.score, self.scored = 0.0, False
+        #: Of each kind of implied end tag, the element it would close.
+        self.near: tuple = (None,) * len(REACH) if parent is None else parent.near
+        if tag in SPECIAL:
+            self.near = tuple(self if tag in closed else None if tag in barrier else n for n, (closed, barrier) in zip(self.near, REACH))
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -67,16 +73,6 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         open_count[node.tag] -= 1
         node = node.parent
 
-    def nearest(tags, barrier) -> Node | None:
-        n = node
-        while n is not root:
-            if n.tag in tags:
-                return n
-            if n.tag in barrier:
-                return None
-            n = n.parent
-        return None
-
     find = TOKEN.search
     while True:
         m = find(page, at)
@@ -104,16 +100,15 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 low = page.lower()
                 if len(low) != len(page):  # a character whose lower case is longer
                     low = "".join(c.lower() if c < "\x80" else c for c in page)
-            end = low.find("</" + tag, at)
             if not m.group(3).endswith("/"):
+                end = low.find("</" + tag, at)
                 stop = -1 if end < 0 else page.find(">", end)
                 at = len(page) if stop < 0 else stop + 1
             continue
-        if tag in BLOCK and open_count.get("p"):
-            if (n := nearest({"p"}, {"table", "td", "th", "button"})) is not None:
-                close_to(n)
-        if tag in CLOSES and any(open_count.get(t) for t in CLOSES[tag]):
-            while (n := nearest(CLOSES[tag], BARRIER[tag])) is not None:
+        if tag in BLOCK and node.near[0] is not None:
+            close_to(node.near[0])
+        if tag in KIND:
+            while (n := node.near[KIND[tag]]) is not None:
                 close_to(n)
         child = Node(tag, node, len(nodes))
         nodes.append(child)
@@ -128,15 +123,22 @@ def squeeze(text: str) -> str:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Characters, and those in links, of each element's subtree; what is dropped counts as links."""
+    """Characters of each element's subtree, those in links (what is dropped counts as links), and characters and commas of what isn't dropped."""
     for n in reversed(nodes):
-        own = sum(len(squeeze(p)) for p in n.parts if type(p) is str)
-        n.length += own
-        if n.link or n.dropped:
-            n.linked += own
-        if n.parent is not None:
-            n.parent.length += n.length
-            n.parent.linked += n.linked
+        for p in n.parts:
+            if type(p) is str:
+                text = squeeze(p)
+                n.length += len(text)
+                if n.link or n.dropped:
+                    n.linked += len(text)
+                if not n.dropped:
+                    n.kept += len(text)
+                    n.commas += text.count(",")
+        if (up := n.parent) is not None:
+            up.length += n.length
+            up.linked += n.linked
+            up.kept += n.kept
+            up.commas += n.commas
 
 
 def density(n: Node) -> float:
@@ -179,24 +181,20 @@ def extract(page: str) -> tuple[str, float, int]:
     """(text, score of the best container, paragraphs that gave points)."""
     root, nodes = parse(page)
     measure(nodes)
-    given, within = 0, set()
+    gives, within = set(), set()
     for n in nodes:
-        if n.parent is not None and n.parent.order in within:
+        if n.parent is not None and (n.parent.order in within or n.parent.order in gives):
             within.add(n.order)
-            continue
-        if n.dropped or n.tag not in GIVES:
-            continue
-        text = inner_text(n)
-        if len(text) < LEAST:
-            continue
-        within.add(n.order)
-        given += 1
-        points = 1 + text.count(",") + min(len(text) // PER, 3)
-        depth, up = 0, n.parent
-        while up is not None:
-            up.score += points if depth == 0 else points / 2 if depth == 1 else points / (3 * depth)
-            up.scored = True
-            depth, up = depth + 1, up.parent
+        elif n.tag in GIVES and not n.dropped and n.kept >= LEAST:
+            gives.add(n.order)
+    for n in reversed(nodes):  # an element's score is what it got from below before it passes half of it on
+        if (up := n.parent) is not None:
+            if n.order in gives:
+                up.score += 1 + n.commas + min(n.kept // PER, 3)
+                up.scored = True
+            if n.scored:
+                up.score += n.score / 2
+                up.scored = True
     best, top = None, 0.0
     for n in nodes:
         if n.scored:
@@ -216,7 +214,7 @@ def extract(page: str) -> tuple[str, float, int]:
             take = (len(text) > 80 and links < 0.25) or (0 < len(text) <= 80 and links == 0 and END.search(text) is not None)
         if take:
             kept += lines(s)
-    return "\n".join(kept), top, given
+    return "\n".join(kept), top, len(gives)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
