@@ -15,12 +15,14 @@ summed row by row. What comes out is a cut point for each leaf, so texts are fil
 
 Result of ``mix``: the rows taken, with their columns, and ``epoch`` from 0. Repeated rows of one id have one place in
 the order and are in or out together. A null id, language or source counts as the empty string; null and empty texts have no tokens and
-are in as soon as the prefix reaches them. An empty table gives an empty result. Columns named like the new one are replaced.
+are in as soon as the prefix reaches them. An empty table gives an empty result. A column named ``epoch`` is replaced (with ``number_epochs`` False nothing is added or
+replaced, and a row taken n times comes n times); columns of other names stay as they are.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,23 +56,30 @@ def domain_of(domains: dict[str, list[str]]) -> Column:
 
 
 def leaves(docs: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
-    return docs.withColumns({"domain": domain_of(domains), "lang_key": F.coalesce("lang", F.lit("")), "source_key": F.coalesce("source", F.lit(""))})
+    return docs.select("doc_id", "text", domain_of(domains).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang_key"), F.coalesce("source", F.lit("")).alias("source_key"))
 
 
 def fill(amount: int, children: dict, weight, capacity: dict) -> dict:
     """amount to the children by weight, none above its capacity; what one leaves goes to the others."""
-    got, open_ = {}, sorted(children)
-    while open_:
-        total = sum(weight(c) for c in open_)
-        full = [c for c in open_ if total == 0 or capacity[c] * total <= amount * weight(c)]
-        if not full:
-            for c in open_:
-                got[c] = amount * weight(c) // total
-            break
-        for c in full:
-            got[c] = min(capacity[c], amount) if total == 0 else capacity[c]
-        amount -= sum(got[c] for c in full)
-        open_ = [c for c in open_ if c not in full]
+    order = sorted(children)
+    total = sum(weight(c) for c in order)
+    if total == 0:
+        got = {}
+        for c in order:
+            got[c] = min(capacity[c], amount)
+            amount -= got[c]
+        return got
+    weigh = {c: weight(c) for c in order}
+    # Who fills at the lowest level comes first; the first that doesn't fill sets the level for itself and all after it.
+    by_level = sorted((c for c in order if weigh[c]), key=lambda c: Fraction(capacity[c], weigh[c]))
+    got = {c: 0 for c in order}
+    for k, c in enumerate(by_level):
+        if capacity[c] * total > amount * weigh[c]:
+            return got | {d: amount * weigh[d] // total for d in by_level[k:]}
+        got[c] = capacity[c]
+        amount, total = amount - got[c], total - weigh[c]
+    if amount > 0:  # only those without a weight are left
+        return got | fill(amount, [c for c in order if not weigh[c]], lambda c: 0, capacity)
     return got
 
 
@@ -117,14 +126,16 @@ def plan(docs: DataFrame, total: int | None, weights: tuple[dict, dict, dict], d
     return given.join(cut, LEAF, "left").select(*LEAF, "supply", "budget", "epochs", F.lower(F.coalesce("cut", F.lit(""))).alias("cut"))
 
 
-def mix(docs: DataFrame, total: int | None = None, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS), domains: dict = DOMAINS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, share: tuple[int, int] = TOTAL) -> DataFrame:
+def mix(docs: DataFrame, total: int | None = None, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS), domains: dict = DOMAINS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, share: tuple[int, int] = TOTAL, number_epochs: bool = True) -> DataFrame:
     """The rows taken, with ``epoch``."""
-    cuts = C.cut(plan(docs, total, weights, domains, max_epochs, seed, share)).select(*(F.col(c).alias(f"_{c}") for c in (*LEAF, "epochs", "cut")))
+    cuts = C.cut(plan(docs, total, weights, domains, max_epochs, seed, share)).select(*LEAF, "epochs", "cut")
     small = cuts.count() <= 100_000  # a row has about 100 bytes
-    keys = {"_domain": domain_of(domains), "_lang_key": F.coalesce("lang", F.lit("")), "_source_key": F.coalesce("source", F.lit(""))}
-    joined = docs.drop("epoch").withColumns(keys).join(F.broadcast(cuts) if small else cuts, list(keys), "left")
-    times = F.col("_epochs") + (place(seed, F.col("_epochs")) <= F.col("_cut")).cast("bigint")
-    return joined.withColumn("_times", times).where("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1))).select(*[c for c in docs.columns if c != "epoch"], "epoch")
+    columns = [c for c in docs.columns if c != "epoch"] if number_epochs else docs.columns
+    # The caller's columns travel in one, so that no name can clash.
+    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), domain_of(domains).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang_key"), F.coalesce("source", F.lit("")).alias("source_key"), "doc_id")
+    times = F.col("epochs") + (place(seed, F.col("epochs")) <= F.col("cut")).cast("bigint")
+    taken = mine.join(F.broadcast(cuts) if small else cuts, LEAF, "left").select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)).alias("number"))
+    return taken.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), *([F.col("number").alias("epoch")] if number_epochs else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

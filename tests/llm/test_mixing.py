@@ -76,3 +76,20 @@ def test_budgets_never_exceed():
         assert all(0 <= got[k] <= 2 * v for k, v in supply.items())
         most = min(total, 2 * sum(supply.values()))
         assert most - 3 * len(supply) <= sum(got.values()) <= most or "s1" in {k[2] for k in supply}
+
+
+def test_clashing_columns_keep_their_values(nasty):
+    names = [c for c in nasty.columns[5:] if c != "epoch"]
+    assert all(r[c] == "mine" for r in M.mix(nasty).collect() for c in names)
+    out = M.mix(nasty, max_epochs=1, number_epochs=False)
+    assert out.columns == nasty.columns and all(r[c] == "mine" for r in out.collect() for c in nasty.columns[5:])
+
+
+def test_filling_many_leaves_takes_no_square():
+    rng = random.Random(2)
+    supply = {("web", "en", f"s{k}"): rng.randint(0, 1000) for k in range(50_000)}
+    total = sum(supply.values()) // 2
+    got = M.budgets(supply, total, ({}, {}, {}), 1)
+    assert total - 50_000 <= sum(got.values()) <= total
+    level = max(got.values())
+    assert all(got[k] == v if v < level else got[k] == level for k, v in supply.items())
