@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -17,16 +19,38 @@ PASS_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, an own one."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, one of this machine's on a local master, as in tests; elsewhere an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
         given = spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = tempfile.mkdtemp(prefix="chunkwright-")
         spark.sparkContext.setCheckpointDir(given)
     return given
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes at the latest when the driver ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    system, path = _path(spark, folder)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of which no living table reads any more."""
+    system, path = _path(spark, folder)
+    system.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder, with no lineage left: a lost executor costs nothing that was done."""
     shared_dir(df.sparkSession)

@@ -71,6 +71,21 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the spans that begin at a and at b have the same bytes; data ends in 8 spare bytes."""
+    same = size_a == size_b
+    if not len(a):
+        return same
+    view = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
+    more, step = np.flatnonzero(same & (size_a > 0) & (a != b)), 0
+    while len(more):
+        left = size_a[more] - step
+        same[more] &= (view[a[more] + step] ^ view[b[more] + step]) & _MASK[np.minimum(left, 8)] == 0
+        step += 8
+        more = more[(left > 8) & same[more]]
+    return same
+
+
 def scan_words(texts: pa.Array) -> Words:
     data, at = text_bytes(texts, lower=True)
     b = data[:-8]

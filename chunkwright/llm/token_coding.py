@@ -12,14 +12,14 @@ Result of ``encode_corpus``: one row a document, kind "document" (doc_id, n_toke
 whose ranks, decoded, are the ids in the order of their ranks; with it, everything can be decoded. A null text has null
 control and data and 0 tokens, an empty one has empty ones. Repeated rows give repeated rows and count as often; null ids are carried; an empty table gives
 the dictionary alone. Texts are tokenised once; the ids lie in the shared folder until they are coded. Counts are arrays of
-the vocabulary's size, summed by slices; documents are never shuffled.
+the vocabulary's size, summed by slices; documents are never shuffled. The vocabulary file is read by the driver (it has some MB) and sent; pieces are told apart by
+their bytes. The folder of ids goes when the driver ends.
 """
 
 from __future__ import annotations
 
 import base64
 import unicodedata
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkwright.llm import common as C
-from chunkwright.llm.textscan import hash_spans, text_bytes
+from chunkwright.llm.textscan import equal_spans, hash_spans, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE = 400_000
@@ -111,14 +111,13 @@ def pieces(b: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Tokenizer:
     """Ids of whole batches. One a worker: it keeps the pieces it has seen."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(k) for a, k in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(k) for a, k in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.size = max(ranks.values()) + 1
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[bytes, list[int]] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin)."""
@@ -130,15 +129,20 @@ class Tokenizer:
         code, unique = pd.factorize(hash_spans(b, start, end))
         where = np.full(len(unique), -1)
         where[code[::-1]] = np.arange(len(code))[::-1]
+        # Pieces of one hash are compared by their bytes; another one's would be encoded by itself.
+        odd = np.flatnonzero(~equal_spans(b, start, start[where[code]], end - start, (end - start)[where[code]]))
+        code[odd] = len(unique) + np.arange(len(odd))
+        where = np.r_[where, odd]
         raw, known = b.tobytes(), self.known
         if len(known) > CACHE:
             known.clear()
         single = self.encoding._core_bpe.encode_single_piece
         lists = []
-        for h, s, e in zip(unique.tolist(), start[where].tolist(), end[where].tolist()):
-            ids = known.get(h)
+        for s, e in zip(start[where].tolist(), end[where].tolist()):
+            piece = raw[s:e]
+            ids = known.get(piece)
             if ids is None:
-                ids = known[h] = single(raw[s:e])
+                ids = known[piece] = single(piece)
             lists.append(ids)
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(size.sum()))
@@ -177,11 +181,14 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def tokenise(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
     """(doc_id, ids as two or four bytes each) in the shared folder, and the vocabulary's size."""
-    size = Tokenizer(path).size
+    with open(path, "rb") as f:
+        vocabulary = f.read()
+    size = Tokenizer(vocabulary).size
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = "<u2" if size <= 65_536 else "<u4"
 
     def scan(batches):
-        work = Tokenizer(path)
+        work = Tokenizer(shared.value)
         for batch in batches:
             for part in C.slices(batch, "text"):
                 texts = C.column(part, "text")
@@ -190,8 +197,8 @@ def tokenise(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
                 raw = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([C.column(part, "doc_id").cast(pa.int64()), pa.array(raw, pa.binary(), mask=texts.is_null().to_numpy(zero_copy_only=False))], ["doc_id", "ids"])
 
-    folder = f"{C.shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, ids binary").write.option("compression", "zstd").parquet(folder)
+    folder = C.scratch(docs.sparkSession, "tokens")
+    docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, ids binary").write.option("compression", "zstd").mode("overwrite").parquet(folder)
     return docs.sparkSession.read.parquet(folder), size
 
 

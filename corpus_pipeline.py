@@ -2,13 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir), with docs what its predecessor kept, and returns what it
 keeps. All but the last return the columns they get; the last adds ``shard``. Null and empty texts are rejected by the
-first stage. A null id is never a near copy; it has shard -1.
+first stage. A null id is never a near copy; it has shard -1. A stage's folder goes when the next one has written its own.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkwright.llm import common, decontaminate, language_id, mixing, ngram_join, sharding
@@ -31,7 +29,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's token budget, in one epoch at most: no document comes twice."""
-    return mixing.mix(docs, max_epochs=1).select(docs.columns)
+    return mixing.mix(docs, max_epochs=1, number_epochs=False)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +50,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = common.scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}")
+        if k:
+            common.discard(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,7 +27,8 @@ def test_bytes():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return K.Tokenizer(K.VOCABULARY)
+    with open(K.VOCABULARY, "rb") as f:
+        return K.Tokenizer(f.read())
 
 
 def test_same_ids_as_the_library(tokenizer, corpus):
@@ -58,3 +60,10 @@ def test_nasty(nasty, tokenizer):
     assert sorted(back, key=repr) == sorted(((r.doc_id, r.text) for r in nasty.collect()), key=repr)
     order, back = read_back(K.encode_corpus(nasty.limit(0)).collect(), tokenizer)
     assert back == [] and order.tolist() == list(range(tokenizer.size))
+
+
+def test_pieces_of_one_hash_are_told_apart(tokenizer, monkeypatch):
+    texts = pa.array(["some words and more words, of another text", "words"])
+    want = [x.tolist() for x in tokenizer.encode(texts)]
+    monkeypatch.setattr(K, "hash_spans", lambda data, start, end: np.zeros(len(start), np.uint64))
+    assert [x.tolist() for x in tokenizer.encode(texts)] == want
