@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkwright.llm import common as C
@@ -190,12 +190,11 @@ LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def labelled_sample(docs: DataFrame, sample: int) -> tuple[list[str], list[str]]:
-    """At most ``sample`` labelled texts a language, those of least md5 of the id: first the ids, without the texts, then the texts of those ids."""
+    """At most ``sample`` labelled texts a language, those of least md5 of the id: first the ids, without the texts (each task keeps no more
+    than ``sample`` a language before they meet), then the texts of those ids."""
     ids = docs.where("lang is not null and doc_id is not null").select("lang", "doc_id").groupBy("lang", "doc_id").agg(F.md5(F.col("doc_id").cast("string")).alias("h"))
-    languages = [r[0] for r in ids.select("lang").distinct().collect()]
-    chosen: list[tuple[str, int]] = []
-    for lang in sorted(languages):
-        chosen += [(r["lang"], r["doc_id"]) for r in ids.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(sample).collect()]
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = [(r["lang"], r["doc_id"]) for r in ids.select("lang", "doc_id", least.alias("n")).where(F.col("n") <= sample).collect()]
     if not chosen:
         return [], []
     wanted = docs.sparkSession.createDataFrame(chosen, "lang string, doc_id bigint")
