@@ -12,15 +12,20 @@ FILLER = " [revised in a later edition] "
 FRACTION, LINE_FRACTION, LONG = 0.1, 0.15, 40
 
 
+#: Signs that end a line (CR and LF together are one end), and blanks.
+ENDS = "\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def mutate_lines(text: Column, key: Column, fraction: float = LINE_FRACTION, filler: str = FILLER) -> Column:
-    """Lines of more than LONG characters get the filler in their middle with this probability, drawn by md5 of key and line number."""
+    """Lines of more than LONG characters, with their ends, get the filler in their middle with this probability, drawn by md5 of key and line number."""
 
     def change(line, i):
         half = F.floor(F.length(line) / 2).cast("int")
         picked = (F.length(line) > LONG) & share_below(F.concat_ws(":", key.cast("string"), i.cast("string")), "line", fraction)
         return F.when(picked, F.concat(line.substr(F.lit(1), half), F.lit(filler), line.substr(half + 1, F.length(line)))).otherwise(line)
 
-    return F.array_join(F.transform(F.split(text, "\n"), change), "\n")
+    return F.array_join(F.transform(F.split(text, f"(?<=[{ENDS}])(?<!\r(?=\n))"), change), "")
 
 
 def chosen(key: Column, fraction: float = FRACTION) -> Column:
@@ -38,27 +43,30 @@ def _below(key: str, salt: str, fraction: float) -> str:
 
 def mutate_sql(text: str = "text", key: str = "doc_id") -> str:
     line = f"case when length(l) > {LONG} and {_below(key + '::varchar || chr(58) || (i - 1)::varchar', 'line', LINE_FRACTION)} then l[1:length(l) // 2] || '{FILLER}' || l[length(l) // 2 + 1:] else l end"
-    return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda l, i: {line}), chr(10))"
+    ends = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+    return rf"case when {text} is null then null else array_to_string(list_transform(regexp_extract_all({text}, '[^{ends}]*(?:\r\n|[{ends}])|[^{ends}]+'), lambda l, i: {line}), '') end"
 
 
 def second_version_sql() -> str:
     return f"select doc_id, case when {_below('doc_id::varchar', '42', FRACTION)} then {mutate_sql()} else text end as text, lang, source, n_chars from documents"
 
 
-MARKUP = [(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"), (r"\[https?://\S+\s+([^\]]*)\]", "$1"), (r"={2,6}\s*(.*?)\s*={2,6}", "$1"), (r"'{2,}", ""), (r"<[^>]+>", ""), (r"\n{3,}", "\n\n")]
+#: What goes, one after another: links to pages (their label stays), links to addresses (likewise), headings, quotes, tags, long gaps.
+MARKUP = [
+    (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"),
+    (rf"\[https?://[^{BLANKS}]+[{BLANKS}]+([^\]]+)\]", "$1"),
+    (r"={2,}([^=]+)={2,}", "$1"),
+    (r"'{2,}", ""),
+    (r"<[^>]+>", ""),
+    (r"\n{3,}", "\n\n"),
+]
 
 
 def strip_markup(text: Column) -> Column:
-    """Links to their labels, headings to their words; quotes, tags and long gaps go."""
+    """Links to their labels, headings to their words; quotes, tags and long gaps go, and blanks at both ends."""
     for pattern, to in MARKUP:
         text = F.regexp_replace(text, pattern, to)
-    return F.regexp_replace(text, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
-
-
-def strip_markup_sql(text: str) -> str:
-    for pattern, to in MARKUP:
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
-    return rf"regexp_replace({text}, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')"
+    return F.regexp_replace(text, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")
 
 
 def remove_templates(text: Column) -> Column:

@@ -21,23 +21,24 @@ def at_sql(source: str, key: str, size: int, first: int, n: int) -> str:
     return " union all ".join(f"select {key}, {k} as row, {mod(first + k, key, size)} as col from {source}" for k in range(n))
 
 
-HALF = "(select o_custkey from orders where o_orderkey % 2 = 0)"
-BLOOM = f"with p as ({at_sql(HALF, 'o_custkey', X.HOT_SIZE, 0, 4)}), b as (select distinct col as position from p)"
+BLOOM = f"with p as ({at_sql('orders', 'o_custkey', X.HOT_SIZE, 0, 4)}), b as (select distinct col as position from p)"
 PROBE = BLOOM + f", a as (select distinct c_custkey, col from ({at_sql('customer', 'c_custkey', X.HOT_SIZE, 0, 4)})), r as (select c_custkey, count(b.position) = count(*) as maybe from a left join b on a.col = b.position group by 1)"
 
 
-def half(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
-
-
 @R("bloom_positions", BLOOM + " select position from b")
 def bloom_positions(spark, sf_dir):
-    return X.bloom(half(spark, sf_dir), "o_custkey")
+    return X.bloom(table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @R("bloom_probe", PROBE + " select * from r")
 def bloom_probe(spark, sf_dir):
-    return X.probe(table(spark, sf_dir, "customer"), "c_custkey", X.bloom(half(spark, sf_dir), "o_custkey"))
+    return X.probe(table(spark, sf_dir, "customer"), "c_custkey", X.bloom(table(spark, sf_dir, "orders"), "o_custkey"))
+
+
+@R("bloom_cold_probe", f"""with p as ({at_sql('orders', 'o_custkey', X.COLD_SIZE, 2000, 4)}), b as (select distinct col as position from p), a as (select distinct c_custkey, col from ({at_sql('customer', 'c_custkey', X.COLD_SIZE, 2000, 4)}))
+select c_custkey, count(b.position) = count(*) as maybe from a left join b on a.col = b.position group by 1""")
+def bloom_cold_probe(spark, sf_dir):
+    return X.probe(table(spark, sf_dir, "customer"), "c_custkey", bloom_cold(spark, sf_dir), X.COLD_SIZE, 2000)
 
 
 @R("bloom_cold", f"with p as ({at_sql('orders', 'o_custkey', X.COLD_SIZE, 2000, 4)}) select distinct col as position from p")
@@ -45,9 +46,9 @@ def bloom_cold(spark, sf_dir):
     return X.bloom(table(spark, sf_dir, "orders"), "o_custkey", X.COLD_SIZE, 2000)
 
 
-@R("bloom_fpr", PROBE + f", e as (select r.*, c_custkey in (select o_custkey from {HALF}) as there from r) select count(*) as queries, count(*) filter (maybe) as positives, count(*) filter (maybe and not there) as false_positives, round(avg((maybe and not there)::int::double), 9) as rate from e")
+@R("bloom_fpr", PROBE + f", e as (select r.*, c_custkey in (select o_custkey from orders) as there from r) select count(*) as queries, count(*) filter (maybe) as positives, count(*) filter (maybe and not there) as false_positives, round(avg((maybe and not there)::int::double), 9) as rate from e")
 def bloom_fpr(spark, sf_dir):
-    there = half(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("there", F.lit(True))
+    there = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("there", F.lit(True))
     wrong = F.col("maybe") & F.col("there").isNull()
     return bloom_probe(spark, sf_dir).join(there, "c_custkey", "left").agg(F.count("*").alias("queries"), F.sum(F.col("maybe").cast("bigint")).alias("positives"), F.sum(wrong.cast("bigint")).alias("false_positives"), F.round(F.avg(wrong.cast("double")), 9).alias("rate"))
 

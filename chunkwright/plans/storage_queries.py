@@ -152,11 +152,11 @@ def version_new_anti(spark, sf_dir):
     return chunks_v2(spark, sf_dir).join(chunks(spark, sf_dir).select("digest").distinct(), "digest", "left_anti").select("doc_id", "ordinal", "size", "digest")
 
 
-@R("chunk_lookup", CDC + INDEX + " select d.doc_id, d.digest, i.refcount from (select doc_id, digest from cdc where ordinal = 0) d left join i on d.digest = i.digest")
+@R("chunk_lookup", CDC + INDEX + " select d.doc_id, d.ordinal, d.digest, i.refcount from cdc d left join i on d.digest = i.digest")
 def chunk_lookup(spark, sf_dir):
-    """A batch of point lookups is one equi-join."""
+    """A batch of point lookups, here of all chunks, is one equi-join."""
     c = chunks(spark, sf_dir)
-    return c.where("ordinal = 0").select("doc_id", "digest").join(X.index(c).select("digest", "refcount"), "digest", "left").select("doc_id", "digest", "refcount")
+    return c.select("doc_id", "ordinal", "digest").join(X.index(c).select("digest", "refcount"), "digest", "left").select("doc_id", "ordinal", "digest", "refcount")
 
 
 CAP = 1 << 20
@@ -205,14 +205,18 @@ def gc_survivors(spark, sf_dir):
     return X.collect_garbage(delete_recipe(spark, sf_dir))[0].select("digest", "size", "refcount")
 
 
-@R("verify_audit", "select 0 as bad_chunks, 0 as bad_documents")
+@R("verify_audit", CDC + """, d as (select count(*) as documents, count(text) as texts, coalesce(sum(octet_length(encode(text))), 0)::bigint as bytes from documents)
+select (select count(*) from cdc) as chunks, documents, texts as restored, bytes, 0::bigint as bad_chunks, 0::bigint as bad_documents from d""")
 def verify_audit(spark, sf_dir):
-    """Payloads whose digest isn't theirs, and documents whose joined payloads aren't the document: none."""
+    """What was audited: chunks, documents, those restored from their payloads and their bytes; payloads whose digest isn't theirs, and documents that aren't
+    what their payloads give, lost ones among them: none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     c = chunk(docs, "doc_id", "content", SMALL, with_data=True)
-    bad = c.agg(F.coalesce(F.sum((F.sha2("data", 256) != F.col("digest")).cast("int")), F.lit(0)).cast("int").alias("bad_chunks"))
-    whole = restore(c).join(docs, "doc_id").agg(F.coalesce(F.sum((F.sha2("restored", 256) != F.sha2("content", 256)).cast("int")), F.lit(0)).cast("int").alias("bad_documents"))
-    return bad.crossJoin(whole)
+    bad = c.agg(F.count("*").alias("chunks"), F.coalesce(F.sum((F.sha2("data", 256) != F.col("digest")).cast("bigint")), F.lit(0).cast("bigint")).alias("bad_chunks"))
+    whole = docs.join(restore(c), "doc_id", "left").withColumn("restored", F.when(F.octet_length("content") == 0, F.coalesce("restored", "content")).otherwise(F.col("restored")))
+    wrong = ~F.sha2("restored", 256).eqNullSafe(F.sha2("content", 256))
+    whole = whole.agg(F.count("*").alias("documents"), F.count("restored").alias("restored"), F.coalesce(F.sum(F.octet_length("restored")).cast("bigint"), F.lit(0).cast("bigint")).alias("bytes"), F.coalesce(F.sum(wrong.cast("bigint")), F.lit(0).cast("bigint")).alias("bad_documents"))
+    return bad.crossJoin(whole).select("chunks", "documents", "restored", "bytes", "bad_chunks", "bad_documents")
 
 
 def restore(recipes: DataFrame) -> DataFrame:

@@ -11,7 +11,39 @@ from chunkwright.plans.register import Register
 from chunkwright.tables import table
 
 R = Register()
-CLEAN = X.strip_markup_sql("html")
+_BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STEPS = [
+    (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"\1"),
+    (rf"\[https?://[^{_BLANK}]+[{_BLANK}]+([^\]]+)\]", r"\1"),
+    ("==+([^=]+)==+", r"\1"),
+    ("''''+", ""),
+    ("<[^>]+>", ""),
+    (r"\n\n\n+", r"\n\n"),
+    (rf"^[{_BLANK}]+", ""),
+    (rf"[{_BLANK}]+$", ""),
+]
+
+
+def _clean(text: str) -> str:
+    for pattern, to in _STEPS:
+        text = f"regexp_replace({text}, '{pattern}', {'chr(10) || chr(10)' if to.startswith(chr(92) + 'n') else repr(to)}, 'g')"
+    return text
+
+
+def _outside(texts: str) -> str:
+    """CTEs up to ``kept``: (doc_id, text) of ``texts`` at depth 0. The depth is a running sum of +1 and -1 that never falls below 0."""
+    return rf"""src as ({texts}),
+tok as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as tok from (select doc_id, regexp_extract_all(text, '\{{\{{|\}}\}}|[^{{}}]+|[{{}}]') as x from src)),
+run as (select *, sum(case tok when '{{{{' then 1 when '}}}}' then -1 else 0 end) over (partition by doc_id order by i) as s from tok),
+deep as (select *, s - least(0, min(s) over (partition by doc_id order by i)) as depth from run),
+seen as (select *, depth = 0 and lag(depth, 1, 0) over (partition by doc_id order by i) = 0 as out from deep),
+shown as (select doc_id, string_agg(tok, '' order by i) filter (out) as text from seen group by doc_id),
+kept as (select src.doc_id, case when src.text is null then null else coalesce(shown.text, '') end as text from src left join shown using (doc_id))"""
+
+
+CLEAN = _clean("html")
+#: Texts with nested templates, open ones and stray braces, made of the documents' own signs.
+_BRACED = "select doc_id, replace(replace(text, ', ', '{{'), '. ', '}}') as text from documents"
 
 
 @R("strip_markup", f"select page_id, {CLEAN} as text from pages")
@@ -19,22 +51,28 @@ def strip_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.strip_markup(F.col("html")).alias("text"))
 
 
-@R("remove_templates", r"select doc_id, regexp_replace('a {{x}} b' || text, '\{\{[^{}]*\}\}', '', 'g') as text from documents where text not like '%{{%' and text not like '%}}%'")
+@R("remove_templates", f"with {_outside('select doc_id, text from documents')} select * from kept")
 def remove_templates(spark, sf_dir):
-    """Of every document. The SQL knows one level only: it leaves out documents with braces and puts a template in front."""
     return table(spark, sf_dir, "documents").select("doc_id", X.remove_templates(F.col("text")).alias("text"))
 
 
-@R("article_filter", f"with c as (select page_id, url, page_id % 2 as ns, {CLEAN} as text from pages) select page_id, length(text) as chars from c where ns = 0 and trim(url) <> '' and text <> '' and not starts_with(upper(ltrim(text)), '#REDIRECT')")
+@R("remove_nested_templates", f"with {_outside(_BRACED)} select * from kept")
+def remove_nested_templates(spark, sf_dir):
+    """Every document with its commas as opening and its full stops as closing braces."""
+    braced = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit("{{")), F.lit(". "), F.lit("}}"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.remove_templates(braced).alias("text"))
+
+
+@R("article_filter", f"with c as (select page_id, url, {CLEAN} as text from pages) select page_id, length(text) as chars from c where trim(url) <> '' and text <> '' and not starts_with(upper(ltrim(text)), '#REDIRECT')")
 def article_filter(spark, sf_dir):
-    """pages has no namespace: all are in 0. The SQL takes every second page for one of namespace 1."""
+    """pages has no namespace: all are in 0."""
     c = table(spark, sf_dir, "pages").select("page_id", "url", F.lit(0).alias("ns"), X.strip_markup(F.col("html")).alias("text"))
     return c.where(X.is_article(F.col("url"), F.col("ns"), F.col("text"))).select("page_id", F.length("text").cast("bigint").alias("chars"))
 
 
-@R("length_filter", "select doc_id, length(text) as chars from documents where length(text) >= 500 order by doc_id limit 300")
+@R("length_filter", f"with {_outside('select doc_id, text from documents')}, c as (select doc_id, length({_clean('text')}) as chars from kept) select doc_id, chars from c where chars >= 500")
 def length_filter(spark, sf_dir):
-    """All documents of at least 500 characters once templates and markup are removed. The SQL gives 300, by their length before."""
+    """All documents of at least 500 characters once templates and markup are removed."""
     text = X.strip_markup(X.remove_templates(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("bigint").alias("chars")).where("chars >= 500")
 

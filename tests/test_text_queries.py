@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -63,3 +64,31 @@ def test_limit_counts_what_is_kept(spark):
     pages = spark.createDataFrame([("d", "x" * 600), ("a", "short"), ("c", "x" * 500), ("b", "x" * 400 + "{{" + "y" * 200 + "}}"), ("e", "x" * 700)], "title string, text string")
     assert [r.title for r in S.clean_articles(pages, limit=2).collect()] == ["c", "d"]
     assert S.clean_articles(pages).count() == 3
+
+
+def test_markup_by_python(spark):
+    rng = random.Random(5)
+    texts = ["== a head ==", "=======x===", "a == b", "[[link|label]] [[only]] [[a|b|c]]", "[http://x.y/z a label] [https://x ] [http://q]", 3 * "'" + "bold" + 3 * "'" + " it's", "\u2003 blank\u00a0", "a\n\n\n\nb", "<b>x</b> < y > z", "=={}==".format("\n"), ""]
+    texts += ["".join(rng.choice(["==", "=", "[[", "]]", "|", "a", " ", "'", "''", "<", ">", "\n\n", "[http://a.b ", "]"]) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+
+    def by_python(text):
+        text = re.sub(r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"\1", text)
+        text = re.sub(r"\[https?://\S+\s+([^\]]+)\]", r"\1", text)
+        for pattern, to in (("={2,}([^=]+)={2,}", r"\1"), ("'{2,}", ""), ("<[^>]+>", ""), ("\n{3,}", "\n\n")):
+            text = re.sub(pattern, to, text)
+        return text.strip()
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert dict(df.select("k", X.strip_markup(df.text)).collect()) == {k: by_python(x) for k, x in enumerate(texts)}
+
+
+def test_lines_are_measured_with_their_ends(spark):
+    rng = random.Random(6)
+    texts = ["x" * 40 + "\n" + "y" * 40 + "\r\n" + "z" * 39 + "\r" + "w" * 39 + "\n", "a" * 60 + "\u2028" + "b" * 60, "", "\n\n"]
+    texts += ["".join(rng.choice(["abc " * 12, "short", "\n", "\r", "\r\n", "\x0b", "\x85", "\x1d"]) for _ in range(30)) for _ in range(50)]
+
+    def by_python(text):
+        return "".join(x[: len(x) // 2] + "<>" + x[len(x) // 2 :] if len(x) > 40 else x for x in text.splitlines(keepends=True))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert dict(df.select("k", X.mutate_lines(df.text, df.k, 1.0, "<>")).collect()) == {k: by_python(x) for k, x in enumerate(texts)}
