@@ -17,6 +17,8 @@ How it runs, all of it over every document:
    Near copies have a hundred tokens in common, in as many buckets. So each set has ANCHORS anchors: tokens of its indexing prefix, drawn by hash
    with the weight count ** 2, which prefers what a group shares to what an edit made, and DIGEST bytes of a min-hash digest of the whole set. A pair with a common
    anchor and ALIKE equal bytes is told at the first such anchor alone; other pairs at every common token, to be summed. A token of more than HOT sets is met in a grid of parts of its sets.
+   The number of buckets follows the number of rows (BUCKET_ROWS), a task takes a bucket in pieces of whole tokens (PIECE) and gives pairs away as it goes (HELD), so its memory follows neither the input nor
+   the pairs of a class.
 3. ``verify``: the sets of documents in a pair that is left are made again and sent to where the pairs of their group of copies
    meet: the hub is the least id two steps away, the same one for nearly all of a group, so nearly every set is sent once. A hub of many
    pairs is cut in a grid of blocks of about BLOCK pairs. Each pair is verified once, by the suffix filter (the larger side cut at the
@@ -36,6 +38,7 @@ are sets of one document (its links are those of all of them, counted for each);
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,8 @@ ENOUGH = 1 << 20
 BLOCK = 50_000
 #: Anchors of a set; sets of a token that meet in one task, by the sketch's count.
 ANCHORS, HOT = 3, 20_000
+#: Rows that a bucket has on average at most; rows whose tokens are met at a time; pairs that a task holds before it gives them away.
+BUCKET_ROWS, PIECE, HELD = 3_000_000, 1_000_000, 1_000_000
 #: Bytes of a set's digest, and how many must be equal for a pair to be told at an anchor. Bits of an anchor.
 DIGEST, ALIKE = 4, 2
 LOW = np.uint64((1 << 56) - 1)
@@ -152,7 +157,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, np.ndarray]:
 
 # 2 ------------------------------------------------------------------------------------------------------------------
 
-KINDS = [("sig", "<i8"), ("doc", "<i8"), ("size", "<u4"), ("rows", "<u4"), ("digest", "<u4"), *((f"anchor{k}", "<u4") for k in range(ANCHORS)), ("token", "<u4"), ("pos", "<i4"), ("part", "<u1")]
+KINDS = [("sig", "<i8"), ("doc", "<i8"), ("size", "<u4"), ("rows", "<u4"), ("digest", "<u4"), *((f"anchor{k}", "<u4") for k in range(ANCHORS)), ("token", "<u4"), ("pos", "<i4"), ("part", "<u1"), ("tag", "<u4")]
 BY_SET = 5 + ANCHORS
 TAG = np.uint32((1 << 24) - 1)
 SHARES = np.exp2(np.arange(256) / 4)  # the square of the count that a rank stands for
@@ -174,7 +179,7 @@ def unpack_rows(blob: bytes) -> dict[str, np.ndarray]:
         n = sets if k < BY_SET else rows
         out[f] = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(kind)
         at += n * w
-    return out | {f: np.cumsum(out[f], dtype=np.int64) for f in ("doc", "pos")}
+    return out | {"doc": np.cumsum(out["doc"], dtype=np.int64), "pos": np.cumsum(out["pos"], dtype=np.int32)}
 
 
 def parts_of(tokens: np.ndarray, hot: int) -> np.ndarray:
@@ -182,11 +187,8 @@ def parts_of(tokens: np.ndarray, hot: int) -> np.ndarray:
     return np.ceil(np.exp2((tokens >> np.uint64(56)).astype(np.float64) / 8) / hot).astype(np.int64)
 
 
-def anchors(tokens: np.ndarray, own: int, hot: int) -> list[int]:
-    """Of an indexing prefix, ANCHORS tokens that meet in one part (TAG of each, mixed): equal hashes choose alike in sets that have much in common. If there is none, bits of the set's own."""
-    tokens = tokens[parts_of(tokens, hot) <= 1]
-    if not len(tokens):
-        return [own & int(TAG)] * ANCHORS
+def anchors(tokens: np.ndarray) -> list[int]:
+    """Of an indexing prefix, ANCHORS tokens (TAG of each, mixed): equal hashes choose alike in sets that have much in common. Tokens of many sets count as well: what a large class shares is one of these."""
     h = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
     share = SHARES[(tokens >> np.uint64(56)).astype(np.int64)]
     every = np.stack([(h >> np.uint64(21 * k)) & np.uint64((1 << 21) - 1) for k in range(ANCHORS)]).astype(np.float64)
@@ -203,58 +205,69 @@ def digest(tokens: np.ndarray) -> int:
     return int.from_bytes(np.where(whole, least & np.uint64(255), 0).astype(np.uint8).tobytes(), "little")
 
 
-def prefix_rows(grams: np.ndarray, rank: np.ndarray, shift: np.uint64, t: float, hot: int):
+def prefix_rows(grams: np.ndarray, rank: np.ndarray, shift: np.uint64, t: float):
     """Of one set: the tokens of the probing prefix, signature, size, digest, anchors."""
     tokens = ordered(grams, rank, shift)
     n, sig = len(tokens), signature(tokens)[0]
-    return tokens[: min(int(probe_prefix(n, t)), n)], sig, n, digest(tokens), anchors(tokens[: max(1, min(int(index_prefix(n, t)), n))], sig, hot)
+    return tokens[: min(int(probe_prefix(n, t)), n)], sig, n, digest(tokens), anchors(tokens[: max(1, min(int(index_prefix(n, t)), n))])
 
 
-def spread(tokens: np.ndarray, sig: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, mixed token, part) of every row. A token that the sketch counts n > hot times has its sets in ceil(n / hot) parts, and a row for each pair of its
-    own part with another: there, parts 0 and 1 meet each other alone; among themselves, as part 2."""
+def spread(tokens: np.ndarray, sig: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, mixed token, part, tag) of every row. A token that the sketch counts n > hot times has its sets in ceil(n / hot) parts, and a row for each pair of its
+    own part with another: there, parts 0 and 1 meet each other alone; among themselves, as part 2. As such a row has a number of its own in the token's place, its tag
+    is the token's TAG and the bit above it; other rows have 0."""
     mixed, part = mix(tokens), np.full(len(tokens), 2, np.uint8)
     many = parts_of(tokens, hot)
     row = np.arange(len(tokens))
     at = np.flatnonzero(many > 1)
     if not len(at):
-        return row, mixed, part
+        return row, mixed, part, np.zeros(len(tokens), np.uint32)
     copy = np.repeat(at, many[at])
     other = np.arange(len(copy)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
     own = (mix(sig[copy].view(np.uint64)) % many[copy].astype(np.uint64)).astype(np.int64)
     cell = mix(mixed[copy] ^ (np.minimum(own, other) * many[copy] + np.maximum(own, other) + 1).astype(np.uint64))
     sides = np.where(own == other, 2, np.where(own < other, 0, 1)).astype(np.uint8)
     cool = many <= 1
-    return np.r_[row[cool], copy], np.r_[mixed[cool], cell], np.r_[part[cool], sides]
+    tag = (mixed[copy] >> np.uint64(32)).astype(np.uint32) & TAG | (TAG + np.uint32(1))
+    return np.r_[row[cool], copy], np.r_[mixed[cool], cell], np.r_[part[cool], sides], np.r_[np.zeros(int(cool.sum()), np.uint32), tag]
 
 
 def pairs_of(col: dict[str, np.ndarray], t: float):
-    """Candidate pairs among the rows of some tokens (all rows of each): the sets (sig, doc), and block by block arrays of a, b (numbers of sets) and weight. The smaller set comes first."""
-    size_of = col["size"].astype(np.int64)
-    order = np.lexsort((col["doc"], col["sig"], size_of))
+    """Candidate pairs among the rows of some tokens (all rows of each): the sets (sig, doc), and block by block arrays of a, b (numbers of sets) and weight. The smaller set comes first.
+    Takes the columns out of col."""
+    order = np.lexsort((col["doc"], col["sig"], col["size"]))
     first = np.ones(len(order), bool)
     differs = lambda x: x[order][1:] != x[order][:-1]
-    first[1:] = differs(size_of) | differs(col["sig"]) | (col["sig"][order][1:] == 0) & differs(col["doc"])
-    number = np.empty(len(order), np.int64)
+    first[1:] = differs(col["size"]) | differs(col["sig"]) | (col["sig"][order][1:] == 0) & differs(col["doc"])
+    number = np.empty(len(order), np.uint32)
     number[order] = np.cumsum(first) - 1  # sets by size; rows of equal sets are one, of the least id
     heads = order[first]
-    sig, doc, size_of = col["sig"][heads], col["doc"][heads], size_of[heads]
-    anchor = [col[f"anchor{k}"][heads] for k in range(ANCHORS)]
-    marks = col["digest"][heads].view(np.uint8).reshape(-1, DIGEST)
-    owner = np.repeat(number, col["rows"])
-    key = (col["token"].astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64)
+    del order, first
+    sig, doc, size_of, marks = (col.pop(f)[heads] for f in ("sig", "doc", "size", "digest"))
+    anchor = [col.pop(f"anchor{k}")[heads] for k in range(ANCHORS)]
+    marks = marks.view(np.uint8).reshape(-1, DIGEST)
+    key = (col.pop("token").astype(np.uint64) << np.uint64(32)) | np.repeat(number, col.pop("rows"))
+    del number, heads
     by = np.lexsort((col["part"], key))
-    key, pos, part = key[by], col["pos"][by], col["part"][by]
+    key, part = key[by], col.pop("part")[by]
     same = np.zeros(len(key), bool)
     same[1:] = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-    key, pos, part = key[~same], pos[~same], part[~same]
-    node, token = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32)
-    size = size_of[node]
-
-    def blocks():
-        edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
-        end = np.repeat(edges[1:], np.diff(edges))
-        at = np.flatnonzero(pos < index_prefix(size, t))
+    key, part, by = key[~same], part[~same], by[~same]
+    pos, tag = col.pop("pos")[by], col.pop("tag")[by]
+    del by, same
+    nodes, tokens = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key >> np.uint64(32)).astype(np.uint32)
+    del key
+    edges = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True]) if len(tokens) else np.zeros(1, np.int64)
+    cuts = np.unique(np.r_[edges[np.searchsorted(edges, np.arange(0, len(tokens), PIECE))], len(tokens)])
+
+    def piece(low: int, high: int):
+        """Rows of whole tokens."""
+        node, place, side, whose = nodes[low:high].astype(np.int64), pos[low:high].astype(np.int64), part[low:high], tag[low:high]
+        whose = np.where(whose > 0, whose, tokens[low:high]) & TAG
+        size = size_of[node].astype(np.int64)
+        own = edges[np.searchsorted(edges, low) : np.searchsorted(edges, high) + 1] - low
+        end = np.repeat(own[1:], np.diff(own))
+        at = np.flatnonzero(place < index_prefix(size, t))
         d = 1
         while len(at):
             at = at[at + d < end[at]]
@@ -263,8 +276,8 @@ def pairs_of(col: dict[str, np.ndarray], t: float):
             at, other = at[fits], other[fits]  # sizes only grow from here: the rest of the token is too long as well
             a, b = size[at], size[other]
             overlap = np.ceil(t / (1 + t) * (a + b) - EPS)
-            good = np.minimum(pos[at], pos[other]) + 1 + np.minimum(a - pos[at] - 1, b - pos[other] - 1) >= overlap
-            good &= (part[at] == 2) | (part[at] != part[other])
+            good = np.minimum(place[at], place[other]) + 1 + np.minimum(a - place[at] - 1, b - place[other] - 1) >= overlap
+            good &= (side[at] == 2) | (side[at] != side[other])
             good &= node[at] != node[other]
             x, y = at[good], other[good]
             if len(x):
@@ -272,20 +285,68 @@ def pairs_of(col: dict[str, np.ndarray], t: float):
                 untold = (marks[node[x]] == marks[node[y]]).sum(axis=1) >= ALIKE
                 for one in anchor:
                     shared = untold & (one[node[x]] == one[node[y]])
-                    weight[shared] = np.where(one[node[x[shared]]] == token[x[shared]] & TAG, ENOUGH, 0)
+                    weight[shared] = np.where(one[node[x[shared]]] == whose[x[shared]], ENOUGH, 0)
                     untold &= ~shared
                 told = weight > 0
                 yield node[x[told]], node[y[told]], weight[told]
             d += 1
 
-    return sig, doc, blocks()
-
-
-def candidates(docs: DataFrame, known: C.Marks, rank: np.ndarray, n: int, t: float, bits: int, hot: int = HOT) -> DataFrame:
-    """(doc_a, sig_a, doc_b, sig_b), once a pair, by the least ids of its sets; sig is 0 for ids that known doesn't mark. The number of buckets of tokens follows
-    spark.sql.shuffle.partitions, which follows the input, so that a bucket has some 40 MB at any size."""
+    return sig, doc, (block for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()) for block in piece(low, high))
+
+
+PAIR = ["doc_a", "sig_a", "doc_b", "sig_b", "weight"]
+
+
+def bucket_pairs(blobs: Iterable[bytes], t: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of a bucket, some at a time. What a pair weighs is the sum of its rows. Pairs that are told at one token aren't held to be summed; of
+    the others, those that have come are given away at HELD."""
+    got = [unpack_rows(x) for x in blobs]
+    if not got:
+        return
+    col = {f: np.concatenate([g.pop(f) for g in got]) for f, _ in KINDS}
+    del got
+    sig, doc, blocks = pairs_of(col, t)
+
+    def given(pairs: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(pairs), HELD):
+            a, b = np.divmod(pairs[k : k + HELD], len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[a], sig[a], doc[b], sig[b], weight[k : k + HELD])], PAIR)
+
+    def summed(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        every, at = np.unique(np.concatenate([x for x, _ in some]), return_inverse=True)
+        return every, np.minimum(np.bincount(at, np.concatenate([w for _, w in some]), len(every)), ENOUGH).astype(np.int64)
+
+    whole, open_, wholes, opens = [], [], 0, 0
+    for a, b, w in blocks:
+        pairs, told = a * len(sig) + b, w >= ENOUGH
+        whole.append(pairs[told]), open_.append((pairs[~told], w[~told]))
+        wholes, opens = wholes + len(whole[-1]), opens + len(open_[-1][0])
+        if wholes > HELD:
+            pairs = np.concatenate(whole)
+            whole, wholes = [], 0
+            yield from given(pairs, np.full(len(pairs), ENOUGH))
+        if opens > HELD:
+            open_ = [summed(open_)]
+            if (opens := len(open_[0][0])) > HELD // 2:
+                yield from given(*open_[0])
+                open_, opens = [], 0
+    if wholes:
+        open_.append((pairs := np.concatenate(whole), np.full(len(pairs), ENOUGH)))
+    if open_:
+        yield from given(*summed(open_))
+
+
+def buckets_for(info: DataFrame, t: float) -> int:
+    """The number of buckets of tokens: a quarter of spark.sql.shuffle.partitions, or more if probing prefixes have more than BUCKET_ROWS tokens for each."""
+    size = F.col("size")
+    prefix = F.least(size, size - F.ceil(t * size - EPS) + F.greatest(F.lit(COMMON), F.ceil(size * COMMON_SHARE)))
+    rows = info.agg(F.sum(prefix)).first()[0] or 0
+    return max(16, int(info.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4, math.ceil(rows / BUCKET_ROWS))
+
+
+def candidates(docs: DataFrame, known: C.Marks, rank: np.ndarray, buckets: int, n: int, t: float, bits: int, hot: int = HOT) -> DataFrame:
+    """(doc_a, sig_a, doc_b, sig_b), once a pair, by the least ids of its sets; sig is 0 for ids that known doesn't mark."""
     spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     shared = spark.sparkContext.broadcast(rank.tobytes())
     shift = np.uint64(64 - bits)
 
@@ -299,18 +360,18 @@ def candidates(docs: DataFrame, known: C.Marks, rank: np.ndarray, n: int, t: flo
             doc, sig, size, marks, anchor = np.array(doc), np.array(sig), np.array(size), np.array(marks, np.uint32), np.array(chosen, np.uint32).T
             owner = np.repeat(np.arange(len(count)), count)
             pos = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            row, token, part = spread(np.concatenate(heads), np.where(sig == 0, doc, sig)[owner], hot)
+            row, token, part, tag = spread(np.concatenate(heads), np.where(sig == 0, doc, sig)[owner], hot)
             owner, pos = owner[row], pos[row]
             bucket = ((token & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
             by = np.lexsort((owner, bucket))
-            owner, pos, part, token = owner[by], pos[by], part[by], (token >> np.uint64(32))[by]
+            owner, pos, part, tag, token = owner[by], pos[by], part[by], tag[by], (token >> np.uint64(32))[by]
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             kept = np.flatnonzero(np.diff(edges))
             blobs = []
             for i in kept:
                 some = slice(edges[i], edges[i + 1])
                 own, rows = np.unique(owner[some], return_counts=True)
-                col = {"sig": sig[own], "doc": doc[own], "size": size[own], "rows": rows, "digest": marks[own], "token": token[some], "pos": pos[some], "part": part[some]}
+                col = {"sig": sig[own], "doc": doc[own], "size": size[own], "rows": rows, "digest": marks[own], "token": token[some], "pos": pos[some], "part": part[some], "tag": tag[some]}
                 blobs.append(pack_rows(col | {f"anchor{k}": a[own] for k, a in enumerate(anchor)}))
             return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
@@ -319,7 +380,7 @@ def candidates(docs: DataFrame, known: C.Marks, rank: np.ndarray, n: int, t: flo
                 ids = C.column(part, "doc_id").to_numpy(zero_copy_only=False)
                 marked = known.has(ids)
                 for k, g in gram_sets(part, n):
-                    h, sig, *rest = prefix_rows(g, order, shift, t, hot)
+                    h, sig, *rest = prefix_rows(g, order, shift, t)
                     heads.append(h), sets.append((int(ids[k]), sig if marked[k] else 0, *rest))
                     held += len(h)
                 if held > 700_000:
@@ -328,32 +389,12 @@ def candidates(docs: DataFrame, known: C.Marks, rank: np.ndarray, n: int, t: flo
         if heads:
             yield flush()
 
-    def meet(table: pa.Table) -> pa.Table:
-        got = [unpack_rows(b.as_py()) for b in table.column("rows")]
-        col = {f: np.concatenate([g.pop(f) for g in got]) for f, _ in KINDS}
-        sig, doc, blocks = pairs_of(col, t)
-        del got, col
-        pairs, weight, out, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def add():
-            every, at = np.unique(np.concatenate([pairs, *(x for x, _ in out)]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([weight, *(w for _, w in out)]), len(every))
-            return every, np.minimum(total, ENOUGH).astype(np.int64)
-
-        for a, b, w in blocks:
-            out.append((a * len(sig) + b, w))
-            held += len(a)
-            if held > 2_000_000:
-                pairs, weight = add()
-                out, held = [], 0
-        if out:
-            pairs, weight = add()
-        a, b = np.divmod(pairs, max(1, len(sig)))
-        return pa.table({"doc_a": doc[a], "sig_a": sig[a], "doc_b": doc[b], "sig_b": sig[b], "weight": weight})
-
-    key = ["doc_a", "sig_a", "doc_b", "sig_b"]
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from bucket_pairs((x.as_py() for batch in batches for x in C.column(batch, "rows")), t)
+
+    key = PAIR[:-1]
     rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(scan, "bucket int, rows binary")
-    met = rows.groupBy("bucket").applyInArrow(meet, ", ".join(f"{c} bigint" for c in [*key, "weight"]))
+    met = rows.groupBy("bucket").applyInArrow(meet, ", ".join(f"{c} bigint" for c in PAIR))
     return met.groupBy(*key).agg(F.sum("weight").alias("weight")).where(F.col("weight") >= ENOUGH).select(*key)
 
 
@@ -445,9 +486,12 @@ def verify(docs: DataFrame, known: C.Marks, pairs: DataFrame, n: int, t: float,
 
     def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         sig, doc = sets.column("sig").to_numpy(), sets.column("doc_id").to_numpy()
-        number = {x: k for k, x in enumerate(zip(doc.tolist(), sig.tolist()))}
         held = [unpack_set(blob.as_buffer(), size.as_py()) for blob, size in zip(sets.column("grams"), sets.column("size"))]
-        a, b = (np.array([number[x] for x in zip(pairs.column(f"doc_{c}").to_pylist(), pairs.column(f"sig_{c}").to_pylist())], np.int64) for c in "ab")
+        ids, sigs = np.unique(doc), np.unique(sig)
+        key = lambda d, s: np.searchsorted(ids, d) * len(sigs) + np.searchsorted(sigs, s)
+        keys = key(doc, sig)
+        order = np.argsort(keys)
+        a, b = (order[np.searchsorted(keys, key(pairs.column(f"doc_{c}").to_numpy(), pairs.column(f"sig_{c}").to_numpy()), sorter=order)] for c in "ab")
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
         j = np.full(len(a), -1.0)
@@ -486,7 +530,7 @@ def found(docs: DataFrame, n: int, threshold: float, sketch_bits: int, hot: int,
         own = own_sets(info)
         several = own.groupBy("doc_id").agg((F.sum("copies") + F.count("*")).alias("n")).where("n > 1").select("doc_id")
         known = C.Marks(C.cut(several), "doc_id")
-        cand = C.cut(candidates(docs, known, rank, n, threshold, sketch_bits, hot))
+        cand = C.cut(candidates(docs, known, rank, buckets_for(info, threshold), n, threshold, sketch_bits, hot))
         return own, C.cut(verify(docs, known, cand, n, threshold, expand))
 
 
