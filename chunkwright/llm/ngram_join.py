@@ -56,7 +56,7 @@ BLOCK = 50_000
 #: Anchors of a set; sets of a token that meet in one task, by the sketch's count.
 ANCHORS, HOT = 3, 20_000
 #: Rows that a bucket has on average at most; rows whose tokens are met at a time; pairs that a task holds before it gives them away.
-BUCKET_ROWS, PIECE, HELD = 3_000_000, 1_000_000, 1_000_000
+BUCKET_ROWS, PIECE, HELD = 3_000_000, 400_000, 400_000
 #: Bytes of a set's digest, and how many must be equal for a pair to be told at an anchor. Bits of an anchor.
 DIGEST, ALIKE = 4, 2
 LOW = np.uint64((1 << 56) - 1)
