@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,31 +68,46 @@ def strip_markup(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")
 
 
+#: A pair of braces or a single one, each with the signs up to the next.
+PIECES = r"(?:\{\{|\}\}|[{}])[^{}]*|[^{}]+"
+
+
+def _let(value: Column, f) -> Column:
+    """f(value); what a lambda gets is evaluated once, however often it is named."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _depths(signs: Column, depth: Column, sections: tuple[int, ...] = (256, 16)) -> Column:
+    """The depth before each sign (1, -1 or 0): a running sum that never falls below 0. An array that grows by one is copied each time, so it is kept short: sections begin with what a plain sum gives."""
+
+    def add(depth, sign):
+        return F.greatest(depth + sign, F.lit(0))
+
+    def running(items, step):
+        return F.aggregate(items, F.array(depth), lambda seen, x: F.array_append(seen, step(F.element_at(seen, -1), x)))
+
+    if not sections:
+        seen = running(signs, add)
+    else:
+        n, *shorter = sections
+        begins = running(F.sequence(F.lit(1), F.size(signs) + 1, F.lit(n)), lambda depth, k: F.aggregate(F.slice(signs, k, n), depth, add))
+        seen = F.flatten(F.transform(begins, lambda depth, k: _let(F.slice(signs, k * n + 1, n), lambda some: _depths(some, depth, shorter))))
+    return F.slice(seen, 1, F.size(signs))
+
+
 def remove_templates(text: Column) -> Column:
-    """{{...}} with any nesting, which no regular expression can match. What is not closed takes the rest along; }} outside stays."""
-
-    @F.pandas_udf("string")
-    def strip(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else _without_templates(v))
-
-    return strip(text)
-
-
-def _without_templates(text: str) -> str:
-    out, depth, at = [], 0, 0
-    while True:
-        begin, end = text.find("{{", at), text.find("}}", at)
-        if depth == 0:
-            if begin < 0:
-                return "".join([*out, text[at:]])
-            out.append(text[at:begin])
-            depth, at = 1, begin + 2
-        elif begin >= 0 and (end < 0 or begin < end):
-            depth, at = depth + 1, begin + 2
-        elif end >= 0:
-            depth, at = depth - 1, end + 2
-        else:
-            return "".join(out)
+    """{{...}} with any nesting, which no regular expression can match. What is not closed takes the rest along; }} outside stays. Without Python, whose batches follow the rows and not the bytes."""
+
+    def sign(piece):
+        return F.when(piece.startswith("{{"), 1).when(piece.startswith("}}"), -1).otherwise(0)
+
+    def shown(piece, depth):
+        return F.when((depth == 0) & ~piece.startswith("{{"), piece).when((depth == 1) & piece.startswith("}}"), piece.substr(F.lit(3), F.length(piece))).otherwise("")
+
+    def outside(pieces):
+        return F.array_join(F.zip_with(pieces, _let(F.transform(pieces, sign), lambda signs: _depths(signs, F.lit(0))), shown), "")
+
+    return F.when(F.contains(text, F.lit("{{")), _let(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), outside)).otherwise(text)
 
 
 def is_article(title: Column, ns: Column, text: Column) -> Column:

@@ -43,6 +43,24 @@ def test_templates_of_all_documents(spark, written):
     assert got == {i: None if x is None else by_depth(x) for i, x in rows}
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["remove_templates", "remove_nested_templates", "length_filter"])
+def test_templates_go_without_python(spark, written, name):
+    assert "Python" not in plan(Q.R.queries[name](spark, written("documents", [(1, "a {{b}} c")], DOCUMENTS)))
+
+
+def test_templates_of_long_texts(spark, written):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["{{", "}}", "{", "}", "a", "é\n", "\U0001d4b3"]) for _ in range(n)) for n in [15, 16, 17, 31, 32, 33, 255, 256, 257, 511, 512, 513, 5000] for _ in range(8)]
+    texts += ["{{" * 600 + "x" + "}}" * 600 + "y", "}}" * 600 + "{{x}}y", "{{" * 600 + "x", "{{x}}y" * 700]
+    rows = list(enumerate(texts))
+    got = dict(Q.remove_templates(spark, written("documents", rows, DOCUMENTS)).collect())
+    assert got == {i: by_depth(x) for i, x in rows}
+
+
 def test_articles_of_all_pages(spark, written):
     rows = [(1, "u", "<p>odd</p>"), (2, "u", "<p>even</p>"), (3, " ", "no title"), (4, "u", "<p> </p>"), (5, "u", " #redirect x"), (6, "u", "see #redirect"), (7, "u", "<b>#REDIRECT</b>"), (9, "u", "''nine''")]
     got = Q.article_filter(spark, written("pages", rows, "page_id bigint, url string, html string")).collect()
