@@ -76,7 +76,7 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 def clean_articles(pages: DataFrame, least: int = 500, limit: int | None = None) -> DataFrame:
     """Templates and markup removed, short ones dropped; ``limit`` counts what is kept, by title."""
     text = textprep.strip_markup(textprep.remove_templates(F.col("text")))
-    out = pages.withColumn("text", text).where(F.length("text") >= least)
+    out = pages.withColumn("text", F.explode(F.filter(F.array(text), lambda x: F.length(x) >= least)))  # a filter on the column would evaluate it again
     return out.orderBy("title").limit(limit) if limit is not None else out
 
 

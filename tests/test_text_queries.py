@@ -52,6 +52,12 @@ def test_templates_go_without_python(spark, written, name):
     assert "Python" not in plan(Q.R.queries[name](spark, written("documents", [(1, "a {{b}} c")], DOCUMENTS)))
 
 
+def test_texts_are_cleaned_once(spark, written):
+    pages = spark.createDataFrame([("a", "x" * 500)], "title string, text string")
+    for df in (Q.length_filter(spark, written("documents", [(1, "x" * 500)], DOCUMENTS)), S.clean_articles(pages)):
+        assert plan(df).count("https?") == 1
+
+
 def test_templates_of_long_texts(spark, written):
     rng = random.Random(3)
     texts = ["".join(rng.choice(["{{", "}}", "{", "}", "a", "é\n", "\U0001d4b3"]) for _ in range(n)) for n in [15, 16, 17, 31, 32, 33, 255, 256, 257, 511, 512, 513, 5000] for _ in range(8)]
